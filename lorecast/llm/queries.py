@@ -6,10 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_dedup
 from .mixing import mix_sources
+from .quality import classify_quality
 from .shared import table
+from .toxicity import classify_toxicity
 from .url_filter import filter_urls
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
@@ -22,7 +32,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_url_filter, op7_mixing, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op10_quality, op6_url_filter, op7_mixing, op8_exact_dedup)}
 ORACLES = {
     "op8_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),

@@ -7,6 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.shipping import ship
+
+__all__ = ["drop_path", "materialize", "new_path", "shared_dir", "ship", "table"]
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share. Only where the session names none (tests) a local one is made and set."""

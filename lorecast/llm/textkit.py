@@ -6,7 +6,6 @@ space and 0x09-0x0D. Null texts count as empty. All hashes are 64 bits.
 
 from __future__ import annotations
 
-import threading
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,21 +23,17 @@ LOWER[65:91] += 32
 #: Bytes of text that a kernel works on at a time (a longer single text is worked on whole).
 CHUNK_BYTES = 1 << 19
 
-
-_powers_lock = threading.Lock()
 _powers: list[np.ndarray] = [np.ones(1, _U), np.ones(1, _U)]
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64, kept for the life of the worker."""
-    with _powers_lock:
-        if len(_powers[0]) < n:
-            size = max(n, CHUNK_BYTES + 1)
-            for i, b in enumerate((_BASE, _INVERSE)):
-                steps = np.full(size, b, _U)
-                steps[0] = 1
-                _powers[i] = np.cumprod(steps)
-        return _powers[0][:n], _powers[1][:n]
+    if len(_powers[0]) < n:
+        for i, b in enumerate((_BASE, _INVERSE)):
+            steps = np.full(max(n, CHUNK_BYTES + 1), b, _U)
+            steps[0] = 1
+            _powers[i] = np.cumprod(steps)
+    return _powers[0][:n], _powers[1][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -111,8 +106,12 @@ class Words:
         self.offsets = np.searchsorted(self.starts, offsets)
         self.doc = np.repeat(np.arange(n), np.diff(self.offsets))
         values = _VALUES[LOWER] if lower else _VALUES
-        if strip is not None:  # bytes that count for nothing in a word's hash
-            values = np.where(strip, _U(0), values)
+        if strip is not None and len(self.starts):  # up to four such bytes at either end are not part of the word
+            for _ in range(4):
+                inner = self.ends - self.starts > 1
+                self.starts = self.starts + (strip[data[self.starts]] & inner)
+                inner = self.ends - self.starts > 1
+                self.ends = self.ends - (strip[data[self.ends - 1]] & inner)
         power, inverse = _power_tables(size + 1)
         sums = np.zeros(size + 1, _U)
         np.cumsum(values[data] * power[:size], out=sums[1:])
