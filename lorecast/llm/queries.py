@@ -11,6 +11,7 @@ from .quality import classify_quality
 from .shared import table
 from .toxicity import classify_toxicity
 from .url_filter import filter_urls
+from .warc import archive_round_trip
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -37,8 +42,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op10_quality, op4_jaccard_join, op6_url_filter, op7_mixing, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op10_quality, op2_warc, op4_jaccard_join, op6_url_filter, op7_mixing, op8_exact_dedup)}
 ORACLES = {
+    "op2_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+        g AS (SELECT body, max(page_id) AS keep FROM p WHERE octet_length(body) >= 1000 GROUP BY body)
+        SELECT p.page_id, CAST(octet_length(p.body) AS BIGINT) AS payload_bytes, sha1(p.body) AS payload_digest,
+            CASE WHEN g.keep > p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN g.keep > p.page_id THEN g.keep END AS refers_to
+        FROM p LEFT JOIN g ON p.body = g.body
+    """,
     "op8_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
         g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY body)
