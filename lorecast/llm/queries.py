@@ -8,6 +8,7 @@ from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .mixing import mix_sources
 from .quality import classify_quality
+from .repeats import remove_repeats
 from .shared import table
 from .toxicity import classify_toxicity
 from .url_filter import filter_urls
@@ -26,6 +27,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("span_starts", "span_ends")
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -42,7 +47,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op10_quality, op2_warc, op4_jaccard_join, op6_url_filter, op7_mixing, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op10_quality, op2_warc, op3_repeats, op4_jaccard_join, op6_url_filter, op7_mixing, op8_exact_dedup)}
 ORACLES = {
     "op2_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
