@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
+from .licenses import scan_licenses
 from .mixing import mix_sources
 from .quality import classify_quality
 from .repeats import remove_repeats
@@ -35,6 +37,14 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
@@ -47,7 +57,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op10_quality, op2_warc, op3_repeats, op4_jaccard_join, op6_url_filter, op7_mixing, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op10_quality, op2_warc, op3_repeats, op4_jaccard_join, op5_decontaminate, op9_licenses, op6_url_filter, op7_mixing, op8_exact_dedup)}
 ORACLES = {
     "op2_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
