@@ -8,11 +8,13 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+#: Most rows of an Arrow batch between the JVM and Python.
+BATCH_ROWS = 1000
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Add the package, zipped, to the session's Python files, once per application."""
+    """Add the package, zipped, to the session's Python files, and keep Arrow batches small, once per application."""
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
@@ -26,4 +28,7 @@ def ship(spark: SparkSession) -> None:
                     path = os.path.join(folder, name)
                     out.write(path, os.path.relpath(path, root))
     context.addPyFile(target)
+    # whole texts travel in these batches; the default of 10,000 rows would hold a worker's memory for nothing
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     _shipped.add(context.applicationId)
