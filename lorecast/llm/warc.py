@@ -137,7 +137,7 @@ def _writer(folder: str):
         def flush() -> pa.RecordBatch:
             # a task that runs again writes under another name; only archives that the manifest lists are read
             name = f"{path}/part-{task.partitionId():05d}-{count:03d}-{uuid.uuid4().hex[:12]}.warc.zst"
-            with fs.open_output_stream(name) as out:
+            with fs.open_output_stream(name, compression=None) as out:
                 frames = write_archive(out, held)
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held)], pa.int64()), pa.array([sum(f[1] for f in frames)], pa.int64())], names=["path", "records", "bytes"])
 
@@ -193,7 +193,7 @@ def read_warc(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFram
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 held, size = [], 0
-                with fs.open_input_stream(path) as source:
+                with fs.open_input_stream(path, compression=None) as source:
                     for raw in read_archive(source):
                         held.append(parse_record(raw))
                         size += len(raw)
