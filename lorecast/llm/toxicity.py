@@ -11,16 +11,16 @@ from pyspark.sql import functions as F
 from .labelled import held_out, score_batches, sigmoid, training_rows
 from .textkit import Words, chunks, prefix_hashes, text_bytes
 
-BUCKET_BITS, DIM, WIDTHS, FILTERS, PREFIX = 18, 8, (1, 2, 3), 8, 5
+BUCKET_BITS, DIM, WIDTHS, FILTERS, PREFIXES = 18, 8, (1, 2, 3), 8, (4, 6)
 PUNCTUATION = np.zeros(256, bool)
 PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two embedding rows per word (of the word, and of its first bytes) and word offsets per text."""
+    """Embedding rows of each word (of the word, and of its first four and six bytes) and word offsets per text."""
     w = Words(data, offsets, strip=PUNCTUATION)
     shift = np.uint64(64 - BUCKET_BITS)
-    return np.stack([w.hashes >> shift, prefix_hashes(data, w.starts, w.ends, PREFIX) >> shift]).astype(np.int64), w.offsets
+    return np.stack([w.hashes >> shift, *(prefix_hashes(data, w.starts, w.ends, k) >> shift for k in PREFIXES)]).astype(np.int64), w.offsets
 
 
 @dataclass
@@ -33,6 +33,12 @@ class Network:
     out: np.ndarray
     base: float = 0.0
 
+    def words(self, ids: np.ndarray) -> np.ndarray:
+        out = self.embed[ids[0]]
+        for more in ids[1:]:
+            out += self.embed[more]
+        return out
+
     def maps(self, x: np.ndarray) -> list[np.ndarray]:
         """Filter responses at every word; a window that runs over the end sees zeros there."""
         found = []
@@ -52,13 +58,13 @@ class Network:
             # a zero row after each text keeps windows from reaching into the next one
             gap = np.repeat(np.arange(n), np.diff(offsets))
             x = np.zeros((ids.shape[1] + n, DIM), np.float32)
-            x[np.arange(ids.shape[1]) + gap * 1] = self.embed[ids[0]] + self.embed[ids[1]]
+            x[np.arange(ids.shape[1]) + gap] = self.words(ids)
             starts = (offsets[:-1] + np.arange(n))[live]
             found = np.concatenate(self.maps(x), axis=1)
             # windows that begin on a gap row count for the text before it: mask them
             found[offsets[1:] + np.arange(n)] = -np.inf
             out[live] = np.maximum.reduceat(found, starts, axis=0)[: len(live)]
-        return np.maximum(out + self.bias, 0) * 1.0
+        return np.maximum(out + self.bias, 0)
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         ids, at = tokens(data, offsets)
@@ -90,7 +96,7 @@ def train_network(ids: list[np.ndarray], y: np.ndarray, epochs: int = 6, batch:
             grads = [np.zeros_like(a) for a in (*net.banks, net.bias, net.out)]
             rows, pulls, base = [], [], 0.0
             for i in chosen:
-                x = net.embed[ids[i][0]] + net.embed[ids[i][1]]
+                x = net.words(ids[i])
                 responses = net.maps(x)
                 peaks = [r.argmax(axis=0) for r in responses]
                 z = np.concatenate([r[p, np.arange(FILTERS)] for r, p in zip(responses, peaks, strict=True)]) + net.bias
