@@ -15,20 +15,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow.fs as pafs
 
-#: Symbols of a file that are handled at a time.
-PIECE = 1 << 20
+#: Entries of a file that are handled at a time: what fits a core's cache sorts fastest.
+PIECE = 1 << 16
 #: Files beyond so many bytes go to the shared folder instead of memory.
 MEMORY_BYTES = 64 << 20
 
 
 class SequentialFile:
-    """Bytes that are written once, in order, and then read in order: in memory while small, else in the shared folder."""
+    """Entries of two bytes that are written once, in order, and then read in order: in memory while small, else in the shared folder."""
 
     def __init__(self, folder: str | None):
         self.folder, self.parts, self.size, self.out, self.path, self.fs = folder, [], 0, None, "", None
 
     def write(self, data: np.ndarray) -> None:
-        self.size += len(data)
+        self.size += data.nbytes
         if self.out is None and self.folder and self.size > MEMORY_BYTES:
             self.fs, base = pafs.FileSystem.from_uri(self.folder)
             self.fs.create_dir(base, recursive=True)
@@ -44,15 +44,14 @@ class SequentialFile:
 
     def read(self) -> Iterator[np.ndarray]:
         if self.out is None:
-            rest = np.concatenate(self.parts) if self.parts else np.zeros(0, np.uint8)
-            self.parts = [rest]
-            for lo in range(0, len(rest), PIECE):
-                yield rest[lo : lo + PIECE]
+            for part in self.parts:
+                for lo in range(0, len(part), PIECE):
+                    yield part[lo : lo + PIECE]
         else:
             self.out.close()
             with self.fs.open_input_stream(self.path) as source:
-                while data := source.read(PIECE):
-                    yield np.frombuffer(data, np.uint8)
+                while data := source.read(2 * PIECE):
+                    yield np.frombuffer(data, np.uint16)
 
     def drop(self) -> None:
         if self.out is not None:
@@ -70,11 +69,25 @@ def _least_between(prefixes: np.ndarray, start: np.ndarray, stop: np.ndarray) ->
     return np.minimum.reduceat(prefixes, where)[::2][::-1]
 
 
+def _least_up_to(prefixes: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Smallest of prefixes[: stop] for each stop from 1 up, by one pass over the pieces between them."""
+    order = np.argsort(stops, kind="stable")
+    cut = np.concatenate([[0], stops[order]])
+    pieces = np.full(len(stops), 255, np.uint8)
+    some = np.flatnonzero(np.diff(cut) > 0)
+    if len(some):
+        pieces[some] = np.minimum.reduceat(prefixes[: cut[-1]], cut[some])
+    out = np.empty(len(stops), np.uint8)
+    out[order] = np.minimum.accumulate(pieces)
+    return out
+
+
 def build(symbols: np.ndarray, offsets: np.ndarray, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Transform (0 marks a string's start) and common prefixes, for strings symbols[offsets[i]:offsets[i + 1]].
 
     Symbols are 1 to 255; lengths must stay below 255. Ends of strings differ from one another and sort before all
-    symbols, in the order of the strings. The first len(offsets) - 1 entries are the empty suffixes.
+    symbols, in the order of the strings. The first len(offsets) - 1 entries are the empty suffixes. In the file, an
+    entry is two bytes: its symbol times 256, and its common prefix with the entry before.
     """
     n = len(offsets) - 1
     lengths = np.diff(offsets)
@@ -82,13 +95,12 @@ def build(symbols: np.ndarray, offsets: np.ndarray, folder: str | None = None) -
 
     def before(strings: np.ndarray, j: int) -> np.ndarray:
         """The symbol before each string's suffix of length j, 0 where that is the whole string."""
-        return np.where(lengths[strings] > j, padded[np.maximum(offsets[strings + 1] - 1 - j, 0)], 0).astype(np.uint8)
+        return np.where(lengths[strings] > j, padded[np.maximum(offsets[strings + 1] - 1 - j, 0)], 0).astype(np.uint16)
 
     everyone = np.arange(n)
-    bwt, lcp = SequentialFile(folder), SequentialFile(folder)
     last = before(everyone, 0)
-    bwt.write(last)
-    lcp.write(np.zeros(n, np.uint8))
+    entries = SequentialFile(folder)
+    entries.write(last << 8)
     totals = np.bincount(last, minlength=256)
     live = lengths > 0
     who, at = everyone[live], everyone[live]
@@ -96,93 +108,88 @@ def build(symbols: np.ndarray, offsets: np.ndarray, folder: str | None = None) -
         # where symbols' blocks begin in the next list: after the empty suffixes, by symbol
         first = n + np.cumsum(totals) - totals - totals[0]
         seen, carry = np.zeros(256, np.int64), np.full(256, 255, np.uint8)
-        new_at, new_who, new_lcp, fix_at, fix_lcp = [], [], [], [], []
+        new_at, new_from, new_lcp, fix_at, fix_lcp = [], [], [], [], []
         lo = k = 0
-        for piece, prefix in zip(bwt.read(), lcp.read(), strict=True):
-            hi = lo + len(piece)
-            k2 = int(np.searchsorted(at, hi))
-            active = np.zeros(len(piece), bool)
+        for piece in entries.read():
+            size = len(piece)
+            k2 = int(np.searchsorted(at, lo + size))
+            symbol, prefix = (piece >> 8).astype(np.uint8), np.empty(size + 1, np.uint8)
+            prefix[:size] = piece & 255
+            prefix[size] = 255
+            active = np.zeros(size, bool)
             active[at[k:k2] - lo] = True
-            names = np.zeros(len(piece), np.int64) if k2 > k else None
-            if names is not None:
-                names[at[k:k2] - lo] = who[k:k2]
-            order = np.argsort(piece, kind="stable")
-            counts = np.bincount(piece, minlength=256)
-            begin = np.cumsum(counts) - counts
-            held = piece[order]
+            order = np.argsort(symbol, kind="stable")
+            begin = np.searchsorted(symbol, np.arange(257), sorter=order)
+            counts = np.diff(begin)
+            present = np.flatnonzero(counts)
             is_new = active[order]
-            leads = np.zeros(len(piece), bool)  # first of its symbol in this piece
-            leads[begin[counts > 0]] = True
             chosen = is_new.copy()
-            chosen[1:] |= is_new[:-1] & ~leads[1:]
-            chosen |= leads
-            chosen &= held > 0
+            chosen[1:] |= is_new[:-1]  # the next of its symbol after a new one
+            chosen[begin[present]] = True
+            chosen[: begin[1]] = False
             t = np.flatnonzero(chosen)
             if len(t):
-                c = held[t]
-                alone = leads[t]
+                c = np.searchsorted(begin, t, "right") - 1
+                alone = t == begin[c]
                 value = np.empty(len(t), np.uint8)
                 inner = t[~alone]
-                extended = np.append(prefix, np.uint8(255))
-                value[~alone] = _least_between(extended, order[inner - 1] + 1, order[inner] + 1)
-                running = np.minimum.accumulate(prefix)
-                value[alone] = np.minimum(carry[c[alone]], running[order[t[alone]]])
-                value = value.astype(np.int64) + 1
+                value[~alone] = _least_between(prefix, order[inner - 1] + 1, order[inner] + 1)
+                value[alone] = np.minimum(carry[c[alone]], _least_up_to(prefix[:size], order[t[alone]] + 1))
+                value = np.minimum(value, 253) + np.uint8(1)
                 value[alone & (seen[c] == 0)] = 0
-                value = np.minimum(value, 254).astype(np.uint8)
                 position = first[c] + seen[c] + t - begin[c]
                 fresh = is_new[t]
-                if fresh.any():
-                    new_at.append(position[fresh])
-                    new_who.append(names[order[t[fresh]]])
-                    new_lcp.append(value[fresh])
+                new_at.append(position[fresh])
+                new_from.append(k + np.searchsorted(at[k:k2] - lo, order[t[fresh]]))
+                new_lcp.append(value[fresh])
                 fix_at.append(position[~fresh])
                 fix_lcp.append(value[~fresh])
             # least common prefix since each symbol's last occurrence
-            tail = np.minimum.accumulate(prefix[::-1])[::-1]
-            found = np.flatnonzero(counts)
-            ends = order[begin[found] + counts[found] - 1]
-            carry = np.minimum(carry, tail[0]) if len(tail) else carry
-            closing = np.append(tail, np.uint8(255))
-            carry[found] = closing[ends + 1]
+            back = prefix[:size][::-1]
+            ends = order[begin[present] + counts[present] - 1]
+            tail = np.full(len(present), 255, np.uint8)
+            inside = ends < size - 1
+            if inside.any():
+                tail[inside] = _least_up_to(back, size - 1 - ends[inside])
+            carry = np.minimum(carry, prefix[:size].min())
+            carry[present] = tail
             seen += counts
-            lo, k = hi, k2
-        at_all, who_all, lcp_all = np.concatenate(new_at), np.concatenate(new_who), np.concatenate(new_lcp)
+            lo, k = lo + size, k2
+        at_all, from_all, lcp_all = np.concatenate(new_at), np.concatenate(new_from), np.concatenate(new_lcp)
         order = np.argsort(at_all, kind="stable")
-        at_all, who_all, lcp_all = at_all[order], who_all[order], lcp_all[order]
+        at_all, who_all, lcp_all = at_all[order], who[from_all[order]], lcp_all[order]
         fix_at, fix_lcp = np.concatenate(fix_at), np.concatenate(fix_lcp)
         order = np.argsort(fix_at, kind="stable")
         fix_at, fix_lcp = fix_at[order], fix_lcp[order]
         symbol = before(who_all, j)
+        fresh_entries = (symbol << 8) | lcp_all
         slot = at_all - np.arange(len(at_all))  # the old entry that each goes before
-        next_bwt, next_lcp = SequentialFile(folder), SequentialFile(folder)
+        following = SequentialFile(folder)
+        total = lo
         lo = a = f = done = 0
-        size = bwt.size
-        for piece, prefix in zip(bwt.read(), lcp.read(), strict=True):
+        for piece in entries.read():
             hi = lo + len(piece)
-            b = len(slot) if hi == size else int(np.searchsorted(slot, hi))
-            both = np.empty((2, len(piece) + b - a), np.uint8)
-            old = np.ones(both.shape[1], bool)
+            b = len(slot) if hi == total else int(np.searchsorted(slot, hi))
+            out = np.empty(len(piece) + b - a, np.uint16)
+            old = np.ones(len(out), bool)
             old[at_all[a:b] - done] = False
-            both[0, old], both[1, old] = piece, prefix
-            both[0, ~old], both[1, ~old] = symbol[a:b], lcp_all[a:b]
-            f2 = int(np.searchsorted(fix_at, done + both.shape[1]))
-            both[1, fix_at[f:f2] - done] = fix_lcp[f:f2]
-            next_bwt.write(both[0])
-            next_lcp.write(both[1])
-            done, lo, a, f = done + both.shape[1], hi, b, f2
-        bwt.drop()
-        lcp.drop()
-        bwt, lcp = next_bwt, next_lcp
+            out[old] = piece
+            out[at_all[a:b] - done] = fresh_entries[a:b]
+            f2 = int(np.searchsorted(fix_at, done + len(out)))
+            where = fix_at[f:f2] - done
+            out[where] = (out[where] & 0xFF00) | fix_lcp[f:f2]
+            following.write(out)
+            done, lo, a, f = done + len(out), hi, b, f2
+        entries.drop()
+        entries = following
         totals = totals + np.bincount(symbol, minlength=256)
         live = symbol > 0
         who, at = who_all[live], at_all[live]
         if not len(who):
             break
-    out = tuple(np.concatenate([np.zeros(0, np.uint8), *f.read()]) for f in (bwt, lcp))
-    bwt.drop()
-    lcp.drop()
-    return out
+    whole = np.concatenate([np.zeros(0, np.uint16), *entries.read()])
+    entries.drop()
+    return (whole >> 8).astype(np.uint8), (whole & 255).astype(np.uint8)
 
 
 def suffix_groups(bwt: np.ndarray, lcp: np.ndarray, lengths: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
