@@ -4,7 +4,8 @@ Every window of `span` bytes has an anchor: the least hash among its substrings
 equal anchors, so windows are dealt by anchor and no window is compared outside its bucket. Windows whose anchor is in
 one document only cannot repeat and are left at home. The others travel as segments (runs of windows with one
 anchor); a bucket's distinct segments are one collection, whose transform and common prefixes are built column by
-column, and suffixes that share `span` symbols are equal windows. The least document of each then decides.
+column, and suffixes that share `span` symbols are equal windows. The least document of each then decides. A segment
+that is its anchor's only one, in however many documents, shares no window with another and joins no collection.
 """
 
 from __future__ import annotations
@@ -96,7 +97,7 @@ def _own_anchors(span: int, bits: int):
                 values.append(anchor[first])
                 docs.append(ids[lo + doc[first]])
                 size += len(first)
-            if size > 3_000_000:
+            if size > 1_000_000:
                 yield flush(values, docs)
                 values, docs, size = [], [], 0
         if size:
@@ -144,8 +145,9 @@ def _travelling(span: int, bits: int, map_bits: int, flags: np.ndarray, blocks:
             own = order[lo:hi]
             _, one, which = np.unique(name[own], return_index=True, return_inverse=True)
             pick = own[one]
-            rows.append((b, length[pick].astype(np.uint8).tobytes(), b"".join(text[offsets[i] : offsets[i + 1]].tobytes() for i in pick), which.astype(np.uint32).tobytes(), doc[own].tobytes(), start[own].tobytes()))
-        return _binary(rows, ["bucket", "lengths", "bytes", "which", "doc", "start"])
+            rest = ((anchor[pick] >> _U(32 - bits)) & _U(0xFFFFFFFF)).astype(">u4")
+            rows.append((b, rest.tobytes(), length[pick].astype(np.uint8).tobytes(), b"".join(text[offsets[i] : offsets[i + 1]].tobytes() for i in pick), which.astype(np.uint32).tobytes(), doc[own].tobytes(), start[own].tobytes()))
+        return _binary(rows, ["bucket", "rest", "lengths", "bytes", "which", "doc", "start"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -167,7 +169,7 @@ def _travelling(span: int, bits: int, map_bits: int, flags: np.ndarray, blocks:
                 text = piece[np.repeat(at[first] - begin, length) + np.arange(length.sum())]
                 held.append((anchor[first], ids[lo + doc[first]], at[first] - own[doc[first]], length, text))
                 size += len(text)
-                if size > 16 << 20:
+                if size > 8 << 20:
                     yield flush(held)
                     held, size = [], 0
         if held:
@@ -187,37 +189,43 @@ def _decide(span: int, blocks: int, folder: str):
         held: dict[int, list] = {}
         for batch in batches:
             for b, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(b, []).append([np.frombuffer(x, t) for x, t in zip(blobs, (np.uint8, np.uint8, np.uint32, np.int64, np.int64), strict=True)])
+                held.setdefault(b, []).append([np.frombuffer(x, t) for x, t in zip(blobs, (np.uint8, np.uint8, np.uint8, np.uint32, np.int64, np.int64), strict=True)])
         while held:
             _, parts = held.popitem()
             yield from decide(parts)
 
     def decide(parts: list) -> Iterator[pa.RecordBatch]:
-        length = np.concatenate([p[0] for p in parts]).astype(np.int64)
-        text = np.concatenate([p[1] for p in parts])
-        shift = np.cumsum([0, *(len(p[0]) for p in parts)])
-        which = np.concatenate([p[2] + s for p, s in zip(parts, shift[:-1], strict=True)]).astype(np.int64)
-        doc, start = (np.concatenate([p[i] for p in parts]) for i in (3, 4))
-        offsets = np.concatenate([[0], np.cumsum(length)])
+        rest, length, text = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        shift = np.cumsum([0, *(len(p[1]) for p in parts)])
+        which = np.concatenate([p[3] + s for p, s in zip(parts, shift[:-1], strict=True)]).astype(np.int64)
+        doc, start = (np.concatenate([p[i] for p in parts]) for i in (4, 5))
         wide = int(length.max())
-        rows = np.zeros((len(length), wide + 1), np.uint8)
-        rows[:, 0] = length
-        rows[:, 1:][np.arange(wide) < length[:, None]] = text
-        distinct, same = np.unique(rows.view(f"V{wide + 1}").ravel(), return_inverse=True)  # by all bytes
+        rows = np.zeros((len(length), wide + 5), np.uint8)
+        rows[:, :4], rows[:, 4] = rest.reshape(-1, 4), length
+        rows[:, 5:][np.arange(wide) < length[:, None]] = text
+        distinct, same = np.unique(rows.view(f"V{wide + 5}").ravel(), return_inverse=True)  # by all bytes
         which = same[which]
-        rows = distinct.view(np.uint8).reshape(len(distinct), wide + 1)
-        length = rows[:, 0].astype(np.int64)
-        text = rows[:, 1:][np.arange(wide) < length[:, None]]
+        rows = distinct.view(np.uint8).reshape(len(distinct), wide + 5)
+        length = rows[:, 4].astype(np.int64)
         least, most = np.full(len(length), NOBODY), np.full(len(length), -NOBODY)
         np.minimum.at(least, which, doc)
         np.maximum.at(most, which, doc)
-        bwt, lcp = build(text + np.uint8(1), np.concatenate([[0], np.cumsum(length)]), folder)
-        groups = int(np.count_nonzero(lcp < span)) + 1
-        owner, found = np.full(groups, NOBODY), np.full((len(length), int(length.max()) - span + 1), -1, np.int64)
-        for who, at, group in suffix_groups(bwt, lcp, length, span):
-            np.minimum.at(owner, group, least[who])
-            found[who, at] = group
-        first = np.where(found >= 0, owner[found], NOBODY)
+        # first: the least document of each window of each segment
+        first = np.where(np.arange(wide - span + 1) < (length - span + 1)[:, None], least[:, None], NOBODY)
+        # equal windows have equal anchors: a segment that is its anchor's only one shares windows with no other
+        anchor = rows[:, :4].copy().view(">u4").ravel()
+        alone = np.append(True, anchor[1:] != anchor[:-1]) & np.append(anchor[:-1] != anchor[1:], True)
+        several = np.flatnonzero(~alone)
+        if len(several):
+            size = length[several]
+            text = rows[several][:, 5:][np.arange(wide) < size[:, None]]
+            bwt, lcp = build(text + np.uint8(1), np.concatenate([[0], np.cumsum(size)]), folder)
+            owner = np.full(int(np.count_nonzero(lcp < span)) + 1, NOBODY)
+            found = np.full((len(several), wide - span + 1), -1, np.int32)
+            for who, at, group in suffix_groups(bwt, lcp, size, span):
+                np.minimum.at(owner, group, least[several[who]])
+                found[who, at] = group
+            first[several] = np.where(found >= 0, owner[found], NOBODY)
         hit = np.flatnonzero((first.min(axis=1) < most)[which])  # occurrences of segments that some document loses
         for lo in range(0, len(hit), 200_000):
             h = hit[lo : lo + 200_000]
@@ -291,7 +299,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def travel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _travelling(span, bits, map_bits, sent.value, blocks)(batches)
 
-    moved = long_enough.mapInArrow(travel, "bucket long, lengths binary, bytes binary, which binary, doc binary, start binary").repartition(partitions, "bucket")
+    moved = long_enough.mapInArrow(travel, "bucket long, rest binary, lengths binary, bytes binary, which binary, doc binary, start binary").repartition(partitions, "bucket")
     runs = moved.mapInArrow(_decide(span, blocks, new_path(spark, "columns")), "block long, doc binary, begin binary, end binary")
     gone = materialize(runs.repartition(partitions, "block").mapInArrow(_by_document, "doc long, begin binary, end binary"), "repeat-runs")
     joined = rows.join(gone, F.col("id") == F.col("doc"), "left").select("id", "text", "begin", "end")
