@@ -21,8 +21,10 @@ from .textkit import Words, chunks, text_bytes
 from .toxicity import PUNCTUATION
 
 BLOCK = 16
-#: Terms that are in a larger share of all blocks weigh nothing.
-COMMON = 0.05
+#: Terms that are in a larger share of all blocks weigh nothing ...
+COMMON = 0.005
+#: But of each item so many of its rarest terms always do, even if the item itself is all over the corpus.
+KEPT_TERMS = 8
 #: Words that all benchmark items together may have: what every task holds.
 BENCHMARK_WORDS_MOST = 5_000_000
 TERMS_IN_BLOB = 512
@@ -49,9 +51,23 @@ class Items:
                 answer = _hashes(parts[-1])
                 self.answers.append(answer if len(answer) >= 3 else words[-5:])
         self.vocabulary = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, np.uint64)
+        self.sieve = _sieve(self.vocabulary)
         self.scale = np.array([max(0, int(np.ceil(np.log2(max(1, len(w)) / BLOCK)))) for w in self.words], np.int64)
 
 
+    def keep_terms(self, wanted: np.ndarray) -> None:
+        """Leave only some terms in the vocabulary: those without weight need not be looked up again."""
+        self.vocabulary = self.vocabulary[wanted]
+        self.sieve = _sieve(self.vocabulary)
+
+    def terms(self, words: np.ndarray) -> np.ndarray:
+        """Numbers of the words that are in the vocabulary."""
+        if not len(self.vocabulary):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
+        return at[self.vocabulary[at] == words]
+
+
 def _hashes(text: str) -> np.ndarray:
     raw = text.encode()
     return Words(fold(np.frombuffer(raw, np.uint8)), np.array([0, len(raw)]), strip=PUNCTUATION).hashes
@@ -68,7 +84,7 @@ class Blocks:
         h = self.words.hashes
         hit = np.flatnonzero(sieve[(h >> np.uint64(48)).astype(np.int64)])
         at = np.searchsorted(vocabulary, h[hit])
-        ok = vocabulary[np.minimum(at, len(vocabulary) - 1)] == h[hit]
+        ok = vocabulary[np.minimum(at, len(vocabulary) - 1)] == h[hit] if len(vocabulary) else np.zeros(0, bool)
         hit, self.term = hit[ok], at[ok]
         doc = self.words.doc[hit]
         self.block = self.first[doc] + (hit - self.words.offsets[doc]) // BLOCK
@@ -83,12 +99,11 @@ def _sieve(vocabulary: np.ndarray) -> np.ndarray:
 
 def _over_blocks(items: Items, handle):
     """Run handle(blocks, global offset of the texts, lo) over all chunks of the batches' first text column."""
-    sieve = _sieve(items.vocabulary)
 
     def run(column: pa.Array) -> Iterator:
         data, offsets = text_bytes(column)
         for lo, hi in chunks(offsets):
-            yield handle(Blocks(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], items.vocabulary, sieve), lo)
+            yield handle(Blocks(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], items.vocabulary, items.sieve), lo)
 
     return run
 
@@ -152,28 +167,33 @@ def _document_frequencies(texts: DataFrame, items: Items) -> tuple[np.ndarray, i
 def _item_matrix(items: Items, idf: np.ndarray) -> np.ndarray:
     out = np.zeros((len(items.ids), len(idf)), np.float32)
     for i, w in enumerate(items.words):
-        np.add.at(out[i], np.searchsorted(items.vocabulary, w), 1)
+        np.add.at(out[i], items.terms(w), 1)
     return out * idf.astype(np.float32)
 
 
 def latent_space(texts: DataFrame, items: Items, rank: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Inverse document frequencies, and an orthonormal basis (terms by rank) for the passages' leading right vectors.
+    """Inverse document frequencies of the terms that weigh anything (the items keep only those), and an orthonormal basis (terms by rank) for the passages' leading right vectors.
 
     One step of the randomised range finder: Z = A' (A G) for a seeded Gaussian G, A holding the corpus blocks and
     the items, whose rows are scaled up so that both parts of A weigh alike. Tasks add A' (A G) over their blocks.
     """
     df, n = _document_frequencies(texts, items)
-    idf = np.where(df > max(COMMON * n, 3), 0.0, np.log((n + 1) / (df + 1)) + 0.1)
+    wanted = df <= max(COMMON * n, 3)
+    for words in items.words:
+        own = np.unique(items.terms(words))
+        wanted[own[np.argsort(df[own], kind="stable")[:KEPT_TERMS]]] = True
+    items.keep_terms(wanted)
+    idf = (np.log((n + 1) / (df + 1)) + 0.1)[wanted]
     v = len(idf)
     rank = min(rank, v)
+    if not rank:
+        return idf, np.zeros((0, 0), np.float32)
     gauss = np.random.default_rng(seed).normal(size=(v, rank)).astype(np.float32)
     weighted = gauss * idf.astype(np.float32)[:, None]
-    alive = idf > 0
 
     def handle(blocks: Blocks, _: int) -> tuple[np.ndarray, np.ndarray]:
         y = _latent_blocks(blocks, weighted)
-        use = np.flatnonzero(alive[blocks.term])
-        order = use[np.argsort(blocks.term[use], kind="stable")]
+        order = np.argsort(blocks.term, kind="stable")
         terms = blocks.term[order]
         cut = np.flatnonzero(np.diff(terms, prepend=-1))
         sums = np.add.reduceat(y[blocks.block[order]], cut, axis=0) if len(cut) else np.zeros((0, rank), np.float32)
@@ -243,6 +263,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     queries = _item_matrix(items, idf) @ basis
     norms = np.linalg.norm(queries, axis=1)
     scales = [(s, np.flatnonzero((items.scale == s) & (norms > 0))) for s in np.unique(items.scale).tolist()]
+    least = {s: max(1e-6, share * float(norms[which].min())) if len(which) else np.inf for s, which in scales}
     plain = np.flatnonzero(norms <= 0)
 
     def shifted(x: np.ndarray, by: int, last: np.ndarray) -> np.ndarray:
@@ -262,7 +283,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             # an item that begins within a block may reach into one block more
             for sums, n in ((window, have), (window + shifted(z, have, last), have + 1)):
                 long_ = np.linalg.norm(sums, axis=1)
-                live = np.flatnonzero(long_ > 0)
+                live = np.flatnonzero(long_ >= least[s])  # a product is at most the product of the lengths
                 for a in range(0, len(live), 8192):
                     part = live[a : a + 8192]
                     dots = sums[part] @ queries[which].T
