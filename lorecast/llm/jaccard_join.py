@@ -22,9 +22,9 @@ from .textkit import chunks, mix, seeded, shingle_sets, text_bytes
 
 _U = np.uint64
 #: Shingles in at least this many sets come last in the order.
-FREQUENT = 32
+FREQUENT = 4
 #: So many of the most frequent shingles are known to all tasks (8 bytes each); any others are merely not put last.
-FREQUENT_MOST = 200_000
+FREQUENT_MOST = 1_000_000
 #: Share of the shingles, those of lowest hash, whose frequencies are counted.
 COUNTED = 0.5
 BLOCK = 64
@@ -301,7 +301,7 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, n_links (of its set, to other sets found by comparing).
+    """One row per document: id, n_shingles, component_id.
 
     A document's set holds its distinct k-word shingles (A-Z lower-cased; the whole sequence where it has fewer
     words). Sets link from a Jaccard similarity of percent / 100; component_id is the smallest id that a document
@@ -327,7 +327,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = rows.select("text")
     counted = texts.mapInArrow(_count_shingles(k, bits), "bucket long, rest binary, n binary").repartition(partitions, "bucket")
     top = counted.mapInArrow(_frequent(FREQUENT), "code long, n long").orderBy(F.desc("n"), "code").limit(FREQUENT_MOST)
-    frequent = np.sort(np.array([r["code"] for r in top.select("code").collect()], np.int64))
+    frequent = np.sort(top.select("code").toArrow()["code"].to_numpy().astype(np.int64))
     postings = texts.mapInArrow(_postings(k, percent, bits, frequent), "bucket long, rest binary, which binary, position binary, names binary, sizes binary")
     lists = postings.repartition(partitions, "bucket").mapInArrow(_lists(percent), "key long, names binary, sizes binary")
     lists = materialize(lists.dropDuplicates(["key"]), "jaccard-lists")
@@ -381,9 +381,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     everything = first.where(linked).unionByName(second.where(linked)).select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = materialize(connected_components(everything), "jaccard-roots")
 
-    degree = everything.select(F.col("u").alias("x")).unionByName(everything.select(F.col("v").alias("x"))).groupBy("x").agg(F.count(F.lit(1)).alias("links"))
     classes = reps.join(roots, F.col("name") == F.col("node"), "left").withColumn("root", F.coalesce("root", "name"))
     smallest = classes.groupBy("root").agg(F.min("rep").alias("component")).withColumnRenamed("root", "of_root")
-    classes = classes.join(smallest, F.col("root") == F.col("of_root")).join(degree, F.col("name") == F.col("x"), "left").select(F.col("name").alias("c_name"), "component", "links")
+    classes = classes.join(smallest, F.col("root") == F.col("of_root")).select(F.col("name").alias("c_name"), "component")
     out = named.join(classes, (F.col("name") == F.col("c_name")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
