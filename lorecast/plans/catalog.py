@@ -92,10 +92,10 @@ def corpus_statistics(spark, t):
 
 @query()
 def bm25_latin_bigrams(spark, t):
-    """BM25 over words and word pairs."""
+    """BM25 over words and word pairs, of all passages."""
     p = passages(t).withColumn("tokens", tx.tokens_by_language(F.col("text"), F.col("lang")))
     q = t("benchmark").select(F.col("item_id").alias("query"), tx.latin_tokens_udf("text").alias("tokens"))
-    return rt.ranked(rt.bm25_scores(p, q, allowed=F.col("chapter") <= CUTOFF), "id", k=TOP)
+    return rt.ranked(rt.bm25_scores(p, q), "id", k=TOP)
 
 
 PROBES = 12

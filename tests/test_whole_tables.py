@@ -24,3 +24,13 @@ def test_paired_statistics_see_all_evidence(spark):
     want = {(q, i) for q in label if q < catalog.PROBES for i in label if i != q and label[i] == label[q]}
     assert {(r["query"], r["id"]) for r in catalog.whole_gold(table).collect()} == want
     assert {r["query"] for r in catalog.paired(table).collect()} == {q for q, _ in want}
+
+
+def test_bigrams_score_passages_beyond_any_position(spark, tmp_path):
+    texts = [f"plain filler number{i}" for i in range(45)]
+    texts[41] = "the amber lantern swung slowly"
+    rows = [(i, x, "en", "one", len(x)) for i, x in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "amber lantern")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = catalog.QUERIES["bm25_latin_bigrams"](spark, str(tmp_path)).collect()
+    assert [(r["query"], r["id"]) for r in got] == [(7, 41)]
