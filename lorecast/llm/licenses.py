@@ -15,6 +15,8 @@ from .textkit import Words, chunks, text_bytes
 from .toxicity import PUNCTUATION
 
 K = 5
+#: Words of the shortest template: shorter ones are an error.
+LEAST_WORDS = 3
 BASE_BLOCK = 4
 #: Chance that a window which holds a template goes unnoticed by all bands, at most.
 MISS = 1e-4
@@ -30,6 +32,8 @@ TEMPLATES = (
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
 )
+#: Notices of fewer than K words.
+SHORT_TEMPLATES = (("All-Rights-Reserved", "All rights reserved."),)
 
 
 def bands_for(similarity: float, miss: float = MISS) -> int:
@@ -46,13 +50,14 @@ class Templates:
 
     def __init__(self, templates: Sequence[tuple[str, str]], containment: float, seed: int = 29):
         self.names = [n for n, _ in templates]
-        self.sets = []
+        self.sets, self.k = [], []
         for name, text in templates:
             raw = np.frombuffer(text.encode(), np.uint8)
-            grams, _ = Words(raw, np.array([0, len(raw)]), strip=PUNCTUATION).grams(K)
-            if not len(grams):
-                raise ValueError(f"template {name!r} has fewer than {K} words")
-            self.sets.append(np.unique(grams))
+            words = Words(raw, np.array([0, len(raw)]), strip=PUNCTUATION)
+            if len(words.hashes) < LEAST_WORDS:
+                raise ValueError(f"template {name!r} has fewer than {LEAST_WORDS} words")
+            self.k.append(min(K, len(words.hashes)))  # a short template is one shingle of all its words
+            self.sets.append(np.unique(words.grams(self.k[-1])[0]))
         # an occurrence spans fewer shingles than a block of its class, so two adjacent blocks hold it
         self.level = [max(0, math.ceil(math.log2(len(s) / containment / BASE_BLOCK))) for s in self.sets]
         self.bands = []
@@ -82,28 +87,34 @@ def _pair_min(x: np.ndarray, per_text: np.ndarray) -> np.ndarray:
 def scan_texts(data: np.ndarray, offsets: np.ndarray, t: Templates) -> list[tuple[int, int, float, int]]:
     """(text, template, containment, first word of the window) of every verified window."""
     words = Words(data, offsets, strip=PUNCTUATION)
-    grams, at = words.grams(K)
+    return [x for k in sorted(set(t.k)) for x in _scan_runs(words, t, k)]
+
+
+def _scan_runs(words: Words, t: Templates, k: int) -> list[tuple[int, int, float, int]]:
+    """The same for the templates whose shingles are runs of k words."""
+    those = [i for i in range(len(t.sets)) if t.k[i] == k]
+    grams, at = words.grams(k)
     if not len(grams):
         return []
     doc = words.doc[at]
-    count = np.bincount(doc, minlength=len(offsets) - 1)
+    count = np.bincount(doc, minlength=len(words.offsets) - 1)
     live = np.flatnonzero(count)
     count = count[live]
     first = np.cumsum(count) - count
     blocks = -(-count // BASE_BLOCK)
     base = np.repeat(first, blocks) + BASE_BLOCK * (np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks))
-    top = max(t.level)
+    top = max(t.level[i] for i in those)
     candidates: set[tuple[int, int]] = set()
     shapes = [blocks]
     for _ in range(top):
         shapes.append(-(-shapes[-1] // 2))
     edges = [np.cumsum(s) - 1 for s in shapes]
-    for band in range(max(t.bands)):
+    for band in range(max(t.bands[i] for i in those)):
         x = np.minimum.reduceat(t.permute(grams, band), base)
         for level in range(top + 1):
             if level:
                 x = _pair_min(x, shapes[level - 1])
-            own = [i for i in range(len(t.sets)) if t.level[i] == level and band < t.bands[i]]
+            own = [i for i in those if t.level[i] == level and band < t.bands[i]]
             if own:
                 window = x.copy()
                 window[:-1] = np.minimum(x[:-1], x[1:])
@@ -114,13 +125,13 @@ def scan_texts(data: np.ndarray, offsets: np.ndarray, t: Templates) -> list[tupl
     starts = [np.cumsum(s) - s for s in shapes]
     for i, b in sorted(candidates):
         level = t.level[i]
-        k = int(np.searchsorted(starts[level], b, "right")) - 1
+        text = int(np.searchsorted(starts[level], b, "right")) - 1
         step = BASE_BLOCK << level
-        lo = first[k] + (b - starts[level][k]) * step
-        hi = min(first[k] + count[k], lo + 2 * step)
+        lo = first[text] + (b - starts[level][text]) * step
+        hi = min(first[text] + count[text], lo + 2 * step)
         held = len(np.intersect1d(grams[lo:hi], t.sets[i])) / len(t.sets[i])
         if held >= t.containment:
-            out.append((int(live[k]), i, held, int(at[lo] - words.offsets[live[k]])))
+            out.append((int(live[text]), i, held, int(at[lo] - words.offsets[live[text]])))
     return out
 
 
@@ -131,10 +142,11 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     holds any occurrence whole. A template is retrieved where one of its bands' minima is the window's; the number of
     bands follows from the least Jaccard similarity that an occurrence can have with its window, so that the chance to
     miss it is at most MISS. A retrieved window counts if it has at least `containment` of the template's distinct
-    five-word shingles (A-Z lower-cased, punctuation at the ends of words ignored).
+    five-word shingles (A-Z lower-cased, punctuation at the ends of words ignored). A template of three or four words has
+    its whole word sequence as its one shingle, and is sought among the runs of that length.
 
     Null, empty and short texts have no windows. Rows with a null id can match and carry it; repeated rows give a row
-    each. Templates of fewer than five words are an error. An empty table gives an empty result.
+    each. Templates of fewer than three words are an error. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
     t = Templates(templates, containment)

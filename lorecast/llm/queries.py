@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
-from .licenses import scan_licenses
+from .licenses import SHORT_TEMPLATES, TEMPLATES, scan_licenses
 from .mixing import mix_sources
 from .quality import classify_quality
 from .repeats import remove_repeats
@@ -42,7 +42,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return scan_licenses(table(spark, sf_dir, "documents"), TEMPLATES + SHORT_TEMPLATES)
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
