@@ -1,10 +1,16 @@
-"""N-gram Jaccard self-join with skipping by set relations.
-
-The join finds which documents' shingle sets reach a Jaccard similarity, exactly. It walks prefix lists (a set of n
-shingles must share one of its first n - ceil(t n) + 1 shingles, in any one order of all shingles, with each partner),
-skips blocks of a list whose sizes and positions rule a link out, and uses computed answers of one set for the sets
-near it: sets that a list's leader already put in one component are not compared again, and the leader's overlaps
-bound the overlaps among the others.
+"""N-gram Jaccard self-join by set-relation skipping.
+
+Which documents' shingle sets reach a Jaccard similarity, exactly but for hash collisions: sets are named by 63 bits and
+shingles by 64, so among N sets a wrong merge has a chance below N^2 / 2^64, and a wrong shingle match below the square
+of the number of distinct shingles over 2^65.
+
+* Index level: a set of n shingles shares one of its first n - ceil(t n) + 1 shingles, in any one order of all shingles,
+  with each partner. The lists of these prefixes are sorted by size and skipped in blocks where sizes and positions rule
+  a link out; a gap in size that no link can cross cuts a list.
+* Answer level: every list has a leader, its member of least name. A set goes to each of its leaders once, however many
+  lists they share. There its overlap with the leader is computed, and its overlaps with the leader's other sets follow
+  from that answer by its difference from the leader alone; where the answers already rule a link out nothing is
+  computed. Any two sets of one list have that list's leader in common, so no link is missed, and no pair is ever written.
 """
 
 from __future__ import annotations
@@ -18,18 +24,20 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import materialize, ship
-from .textkit import chunks, mix, seeded, shingle_sets, text_bytes
+from .textkit import chunks, mix, shingle_sets, text_bytes
 
 _U = np.uint64
 #: Shingles in at least this many sets come last in the order.
 FREQUENT = 4
 #: So many of the most frequent shingles are known to all tasks (8 bytes each); any others are merely not put last.
 FREQUENT_MOST = 1_000_000
-#: Share of the shingles, those of lowest hash, whose frequencies are counted.
-COUNTED = 0.5
+#: A shingle in so many sets makes no list: its leader is found first and each set is sent to it from where it is.
+HOT = 100_000
 BLOCK = 64
-#: Sets of up to so many documents are chosen by a broadcast of their ids; beyond that, by a shuffled join.
-BROADCAST_IDS = 500_000
+#: A leader's sets are dealt in blocks of about so many sets and shingles; a task compares two blocks at most.
+BLOCK_SETS, BLOCK_SHINGLES = 4096, 2_000_000
+#: Up to so many (leader, set) rows are broadcast to choose texts; beyond that, a shuffled join does it.
+BROADCAST_ROWS = 500_000
 
 
 def set_id(hashes: np.ndarray) -> int:
@@ -47,6 +55,16 @@ def sets_of(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
             yield lo + i, hashes[at[i] : at[i + 1]]
 
 
+def _distinct_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Name and shingles of each set, once a task."""
+    seen = set()
+    for batch in batches:
+        for _, hashes in sets_of(batch.column(0), k):
+            if len(hashes) and (name := set_id(hashes)) not in seen:
+                seen.add(name)
+                yield name, hashes
+
+
 def _least_overlap(total: np.ndarray, percent: int) -> np.ndarray:
     """Smallest overlap o with 100 o >= percent (total - o), for two sets of total shingles together."""
     return -(-percent * total // (100 + percent))
@@ -61,6 +79,18 @@ def _spread(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (hashes >> _U(64 - bits)).astype(np.int64), ((hashes >> _U(32 - bits)) & _U(0xFFFFFFFF)).astype(np.uint32)
 
 
+def _codes(hashes: np.ndarray, bits: int) -> np.ndarray:
+    bucket, rest = _spread(hashes, bits)
+    return (bucket << 32) | rest.astype(np.int64)
+
+
+def _among(codes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which codes are in the sorted array."""
+    if not len(known):
+        return np.zeros(len(codes), bool)
+    return known[np.minimum(np.searchsorted(known, codes), len(known) - 1)] == codes
+
+
 def _edges(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
     cut = np.flatnonzero(np.diff(bucket, prepend=-1))
     for a, b in zip(cut, np.append(cut[1:], len(bucket)), strict=True):
@@ -68,7 +98,7 @@ def _edges(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 
 def _count_shingles(k: int, bits: int):
-    """Per task and bucket: the distinct counted shingles and in how many of the task's sets each is."""
+    """Per task and bucket: the distinct shingles and in how many of the task's sets each is."""
 
     def flush(held: list[np.ndarray]) -> pa.RecordBatch:
         found, n = np.unique(np.concatenate(held), return_counts=True)
@@ -77,18 +107,13 @@ def _count_shingles(k: int, bits: int):
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "rest", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, set()
-        limit = _U(int(COUNTED * 2**64))
-        for batch in batches:
-            for _, hashes in sets_of(batch.column(0), k):
-                if len(hashes) and (name := set_id(hashes)) not in seen:
-                    seen.add(name)
-                    part = hashes[: np.searchsorted(hashes, limit)].copy()
-                    held.append(part)
-                    size += len(part)
-                    if size > 4_000_000:
-                        yield flush(held)
-                        held, size = [], 0
+        held, size = [], 0
+        for _, hashes in _distinct_sets(batches, k):
+            held.append(hashes.copy())
+            size += len(hashes)
+            if size > 4_000_000:
+                yield flush(held)
+                held, size = [], 0
         if size:
             yield flush(held)
 
@@ -115,13 +140,26 @@ def _frequent(least: int):
     return run
 
 
-def _postings(k: int, percent: int, bits: int, frequent: np.ndarray):
-    """Per task and bucket: the postings of the prefixes of the task's distinct sets."""
+class Prefixes:
+    """The first shingles of a set in the common order: the rarer ones first, then by hash."""
+
+    def __init__(self, percent: int, bits: int, frequent: np.ndarray):
+        self.percent, self.bits, self.frequent = percent, bits, frequent
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        last = _among(_codes(hashes, self.bits), self.frequent)
+        p = prefix_length(len(hashes), self.percent)
+        return np.concatenate([hashes[~last], hashes[last]])[:p] if last.any() else hashes[:p].copy()
+
+
+def _postings(k: int, prefixes: Prefixes, hot: np.ndarray):
+    """Per task and bucket: the postings of the prefixes of the task's distinct sets, without the hot shingles."""
+    bits = prefixes.bits
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
         tokens = np.concatenate([h[0] for h in held])
         which = np.repeat(np.arange(len(held), dtype=np.uint32), [len(h[0]) for h in held])
-        position = np.concatenate([np.arange(len(h[0])) for h in held])
+        position = np.concatenate([h[3] for h in held])
         names, sizes = np.array([h[1] for h in held], np.int64), np.array([h[2] for h in held], np.uint32)
         order = np.argsort(tokens, kind="stable")
         bucket, rest = _spread(tokens[order], bits)
@@ -133,30 +171,53 @@ def _postings(k: int, percent: int, bits: int, frequent: np.ndarray):
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.binary() if i else pa.int64()) for i in range(6)], names=["bucket", "rest", "which", "position", "names", "sizes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, set()
-        for batch in batches:
-            for _, hashes in sets_of(batch.column(0), k):
-                if len(hashes) == 0 or (name := set_id(hashes)) in seen:
-                    continue
-                seen.add(name)
-                p = prefix_length(len(hashes), percent)
-                last = np.zeros(len(hashes), bool)
-                if len(frequent):
-                    bucket, rest = _spread(hashes, bits)
-                    code = (bucket << 32) | rest.astype(np.int64)
-                    last = frequent[np.minimum(np.searchsorted(frequent, code), len(frequent) - 1)] == code
-                first = np.concatenate([hashes[~last], hashes[last]])[:p] if last.any() else hashes[:p].copy()
-                held.append((first, name, len(hashes)))
-                size += p
-                if size > 2_000_000:
-                    yield flush(held)
-                    held, size = [], 0
+        held, size = [], 0
+        for name, hashes in _distinct_sets(batches, k):
+            first = prefixes.of(hashes)
+            position = np.arange(len(first))
+            if len(hot):
+                cold = ~_among(_codes(first, bits), hot)
+                first, position = first[cold], position[cold]
+            if len(first):
+                held.append((first, name, len(hashes), position))
+                size += len(first)
+            if size > 2_000_000:
+                yield flush(held)
+                held, size = [], 0
         if held:
             yield flush(held)
 
     return run
 
 
+def _hot_leaders(k: int, prefixes: Prefixes, hot: np.ndarray):
+    """Per task: of each hot shingle the least name among the task's sets that have it in their prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = np.full(len(hot), np.iinfo(np.int64).max)
+        for name, hashes in _distinct_sets(batches, k):
+            codes = _codes(prefixes.of(hashes), prefixes.bits)
+            at = np.searchsorted(hot, codes[_among(codes, hot)])
+            least[at] = np.minimum(least[at], name)
+        found = least < np.iinfo(np.int64).max
+        yield pa.RecordBatch.from_arrays([pa.array(hot[found]), pa.array(least[found])], names=["code", "leader"])
+
+    return run
+
+
+def _hot_rows(k: int, prefixes: Prefixes, hot: np.ndarray, leaders: np.ndarray):
+    """Each set with the leaders of the hot shingles in its prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, hashes in _distinct_sets(batches, k):
+            codes = _codes(prefixes.of(hashes), prefixes.bits)
+            own = np.unique(leaders[np.searchsorted(hot, codes[_among(codes, hot)])])
+            if len(own):
+                yield _pair_batch(own, np.full(len(own), name), np.full(len(own), len(hashes)))
+
+    return run
+
+
 def viable(n: np.ndarray, position: np.ndarray, percent: int) -> np.ndarray:
     """Which members of a list, sorted by size, may link with another member, by sizes and positions.
 
@@ -173,6 +234,8 @@ def viable(n: np.ndarray, position: np.ndarray, percent: int) -> np.ndarray:
             b = slice(j, min(j + BLOCK, len(n)))
             if 100 * n[a][-1] < percent * n[b][0]:
                 break
+            if keep[a].all() and keep[b].all():
+                continue
             if min(rest[a].max(), rest[b].max()) < _least_overlap(n[a][0] + n[b][0], percent):
                 continue
             ok = (100 * n[a][:, None] >= percent * n[b][None, :]) & (100 * n[b][None, :] >= percent * n[a][:, None])
@@ -184,8 +247,20 @@ def viable(n: np.ndarray, position: np.ndarray, percent: int) -> np.ndarray:
     return keep
 
 
-def _lists(percent: int):
-    """From all postings of a bucket: the lists of two or more sets that may link, as (key, names, sizes)."""
+def _pair_batch(leader: np.ndarray, member: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (leader, member, n)], names=["leader", "member", "n"])
+
+
+def led(names: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Leader, member and size for each stretch of a list sorted by size that no link leaves."""
+    gaps = np.flatnonzero(100 * sizes[:-1] < percent * sizes[1:]) + 1
+    for a, b in zip([0, *gaps.tolist()], [*gaps.tolist(), len(names)], strict=True):
+        if b - a > 1:
+            yield np.full(b - a, names[a:b].min()), names[a:b], sizes[a:b]
+
+
+def _led(percent: int):
+    """From all postings of a bucket: the sets of each list with its leader, each (leader, set) once a bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -193,8 +268,8 @@ def _lists(percent: int):
             for b, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rest, which, position, names, sizes = (np.frombuffer(x, t) for x, t in zip(blobs, (np.uint32, np.uint32, np.uint16, np.int64, np.uint32), strict=True))
                 held.setdefault(b, []).append((rest, names[which], sizes[which].astype(np.int64), position.astype(np.int64)))
-        for parts in held.values():
-            rest, names, sizes, position = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        for b in list(held):
+            rest, names, sizes, position = (np.concatenate(x) for x in zip(*held.pop(b), strict=True))
             order = np.argsort(rest, kind="stable")
             rest, names, sizes, position = rest[order], names[order], sizes[order], position[order]
             again = np.zeros(len(rest) + 1, bool)
@@ -203,112 +278,167 @@ def _lists(percent: int):
             rest, names, sizes, position = rest[live], names[live], sizes[live], position[live]
             if not len(rest):
                 continue
-            order = np.lexsort((names, sizes, rest))
+            order = np.lexsort((position, names, sizes, rest))
             rest, names, sizes, position = rest[order], names[order], sizes[order], position[order]
+            fresh = np.ones(len(rest), bool)  # a set that several tasks brought counts once
+            fresh[1:] = (names[1:] != names[:-1]) | (rest[1:] != rest[:-1])
+            rest, names, sizes, position = rest[fresh], names[fresh], sizes[fresh], position[fresh]
             cut = np.flatnonzero(np.diff(rest.astype(np.int64), prepend=-1))
-            seen, out = set(), []
-            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(rest)], strict=True):
-                keep = np.ones(b - a, bool)
-                keep[1:] = names[a + 1 : b] != names[a : b - 1]
-                if keep.sum() < 2:
-                    continue
-                own, n, at = names[a:b][keep], sizes[a:b][keep], position[a:b][keep]
-                keep = viable(n, at, percent)
-                if not keep.any():
-                    continue
-                own, n = own[keep], n[keep]
-                key = int(np.bitwise_xor.reduce(mix(own.astype(_U) ^ seeded(len(own)))).astype(np.int64))
-                if key not in seen:
-                    seen.add(key)
-                    out.append((key, own.tobytes(), n.tobytes()))
-                if len(out) >= 2000:
-                    yield _list_batch(out)
-                    out = []
-            if out:
-                yield _list_batch(out)
+            ends = np.append(cut[1:], len(rest))
+            two = cut[ends - cut == 2]  # most lists: judged together
+            small, large = sizes[two], sizes[two + 1]
+            ok = (100 * small >= percent * large) & (np.minimum(small - position[two], large - position[two + 1]) >= _least_overlap(small + large, percent))
+            two = np.concatenate([two[ok], two[ok] + 1])
+            lead = np.minimum(names[two], names[np.roll(two, len(two) // 2)])
+            out = [(lead, names[two], sizes[two])]
+            for lo, hi in zip(cut.tolist(), ends.tolist(), strict=True):
+                if hi - lo > 2:
+                    keep = viable(sizes[lo:hi], position[lo:hi], percent)
+                    if keep.any():
+                        out += led(names[lo:hi][keep], sizes[lo:hi][keep], percent)
+            leader, member, n = (np.concatenate(x) for x in zip(*out, strict=True))
+            if len(leader):
+                order = np.lexsort((member, leader))
+                leader, member, n = leader[order], member[order], n[order]
+                first = np.ones(len(leader), bool)
+                first[1:] = (leader[1:] != leader[:-1]) | (member[1:] != member[:-1])
+                yield _pair_batch(leader[first], member[first], n[first])
 
     return run
 
 
-def _list_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["key", "names", "sizes"])
+def _lists(owner: np.ndarray, code: np.ndarray, owners: int, codes: int) -> tuple[np.ndarray, ...]:
+    """Codes by owner and owners by code, each as values and offsets."""
+    by_owner, by_code = np.argsort(owner, kind="stable"), np.argsort(code, kind="stable")
+    return code[by_owner], np.searchsorted(owner[by_owner], np.arange(owners + 1)), owner[by_code], np.searchsorted(code[by_code], np.arange(codes + 1))
 
 
-def _pair_batch(a: list, b: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+def _gather(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The values of several stretches, one after the other."""
+    length = ends - starts
+    total = int(length.sum())
+    if not total:
+        return values[:0]
+    return values[np.repeat(starts - np.cumsum(length) + length, length) + np.arange(total)]
 
 
-def _first_pairs(percent: int):
-    """Of each list: every member with the leader (the middle one by size) and with the next by size."""
+class Derived:
+    """Overlaps among the sets of one leader, from their overlaps with the leader and their differences from it.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for names, sizes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own, n = np.frombuffer(names, np.int64), np.frombuffer(sizes, np.int64)
-                mid = len(own) // 2
-                left = np.concatenate([np.full(len(own), own[mid]), own[:-1]])
-                right = np.concatenate([own, own[1:]])
-                ln, rn = np.concatenate([np.full(len(own), n[mid]), n[:-1]]), np.concatenate([n, n[1:]])
-                ok = (left != right) & (100 * np.minimum(ln, rn) >= percent * np.maximum(ln, rn))
-                a.append(np.minimum(left, right)[ok])
-                b.append(np.maximum(left, right)[ok])
-            if a:
-                pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-                yield _pair_batch(pairs[:, 0], pairs[:, 1])
-
-    return run
-
-
-def _rest_pairs(percent: int):
-    """Of a list whose members lie in several components: the pairs between components that the leader's overlaps allow.
+    Of a set's part inside the leader the shorter description is kept: what it has of the leader, or what it lacks.
+    With both lacking: |y & z| = |y & x| + |z & x| - |x| + |what both lack|, and likewise for the other cases; to each
+    comes what y and z share outside the leader.
+    """
 
-    With x the leader: |y & b| <= |x & b| + |y| - |x & y| and <= |x & y| + |b| - |x & b|.
+    def __init__(self, base: np.ndarray, sets: list[np.ndarray]):
+        m, self.size = len(sets), len(base)
+        self.n = np.array([len(s) for s in sets], np.int64)
+        tokens, own = np.concatenate(sets), np.repeat(np.arange(m), self.n)
+        at = np.minimum(np.searchsorted(base, tokens), self.size - 1)
+        hit = base[at] == tokens
+        self.inside = np.bincount(own[hit], minlength=m)
+        self.lacking = 2 * self.inside >= self.size
+        rank = np.cumsum(self.lacking) - 1
+        missing = np.ones((int(self.lacking.sum()), self.size), bool)
+        near = hit & self.lacking[own]
+        missing[rank[own[near]], at[near]] = False
+        row, column = np.nonzero(missing)
+        far = hit & ~near
+        owner = np.concatenate([np.flatnonzero(self.lacking)[row], own[far]])
+        self.within = _lists(owner, np.concatenate([column, at[far]]), m, self.size)
+        _, code, n = np.unique(tokens[~hit], return_inverse=True, return_counts=True)
+        shared = n[code] > 1
+        self.beyond = _lists(own[~hit][shared], code[shared], m, len(n))
+
+    def _common(self, z: int, part: tuple[np.ndarray, ...]) -> np.ndarray:
+        codes, at, owners, ends = part
+        mine = codes[at[z] : at[z + 1]]
+        return np.bincount(_gather(owners, ends[mine], ends[mine + 1]), minlength=len(self.n))
+
+    def most(self, z: int) -> np.ndarray:
+        """Upper bounds of the overlaps of set z with all sets, from the known answers."""
+        return np.minimum(self.inside[z], self.inside) + np.minimum(self.n[z] - self.inside[z], self.n - self.inside)
+
+    def overlaps(self, z: int) -> np.ndarray:
+        """The overlaps of set z with all other sets."""
+        c = self._common(z, self.within)
+        if self.lacking[z]:
+            o = np.where(self.lacking, self.inside[z] + self.inside - self.size + c, self.inside - c)
+        else:
+            o = np.where(self.lacking, self.inside[z] - c, c)
+        return o + self._common(z, self.beyond)
+
+
+def group_links(base: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, masks: np.ndarray, copies: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which sets of one leader are connected (the index of the first of each class), and each set's number of linked rows.
+
+    Only pairs of a set of `left` and one of `right` count (either may be all). A pair whose masks meet has an
+    earlier leader in common, which counts its link.
     """
+    m = len(sets)
+    found = Derived(base, sets)
+    label, count = np.arange(m), np.zeros(m, np.int64)
+    for z in range(m):
+        if not (left[z] or right[z]):
+            continue
+        y = np.arange(z)
+        y = y[(left[z] & right[:z]) | (right[z] & left[:z])]
+        y = y[100 * found.most(z)[y] >= percent * (found.n[y] + found.n[z] - found.most(z)[y])]
+        if not len(y):
+            continue
+        o = found.overlaps(z)[y]
+        y = y[100 * o >= percent * (found.n[y] + found.n[z] - o)]
+        if not len(y):
+            continue
+        classes = np.unique(np.append(label[y], label[z]))
+        if len(classes) > 1:
+            label[np.isin(label, classes)] = classes[0]
+        y = y[~(masks[y] & masks[z]).any(axis=1)]
+        count[z] += copies[y].sum()
+        count[y] += copies[z]
+    return label, count
+
+
+def _masks(others: list[bytes]) -> np.ndarray:
+    """A bit for each earlier leader of each set."""
+    arrays = [np.frombuffer(x, np.int64) for x in others]
+    every, code = np.unique(np.concatenate(arrays), return_inverse=True)
+    words = np.zeros((len(arrays), max(1, -(-len(every) // 64))), _U)
+    np.bitwise_or.at(words, (np.repeat(np.arange(len(arrays)), [len(a) for a in arrays]), code // 64), _U(1) << (code % 64).astype(_U))
+    return words
+
+
+def _answers(percent: int):
+    """Per leader and pair of blocks: each set's class and number of links there. At most one row per set."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        n, root, name, over = (table[c].to_numpy(zero_copy_only=False) for c in ("n", "root", "name", "overlap"))
-        order = np.lexsort((name, n))
-        n, root, name, over = n[order].astype(np.int64), root[order], name[order], over[order]
-        a, b = [], []
-        for i in range(len(n)):
-            top = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
-            j = np.arange(i + 1, top)
-            j = j[root[j] != root[i]]
-            if len(j):
-                need = _least_overlap(n[i] + n[j], percent)
-                bound = np.minimum(over[j] + n[i] - over[i], over[i] + n[j] - over[j])
-                j = j[~(bound < need)]  # an unknown overlap bounds nothing
-                a.append(np.minimum(name[i], name[j]))
-                b.append(np.maximum(name[i], name[j]))
-        if not a:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
+        leader, i, j = (k.as_py() for k in key)
+        name, first = np.unique(table["name"].to_numpy(), return_index=True)  # a repeated row comes twice
+        table = table.take(pa.array(first))
+        sets = [np.frombuffer(x, _U) for x in table["sig"].to_pylist()]
+        block, copies = table["block"].to_numpy(), table["copies"].to_numpy()
+        base = sets[int(np.searchsorted(name, leader))]
+        label, count = group_links(base, sets, block == i, block == j, _masks(table["earlier"].to_pylist()), copies, percent)
+        live = (label != np.arange(len(name))) | (count > 0)
+        return pa.table({"name": name[live], "to": name[label[live]], "links": count[live]})
 
     return run
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [[np.frombuffer(x, _U) for x in batch.column(i).to_pylist()] for i in (2, 3)]
-        o = np.zeros(batch.num_rows, np.int64)
-        for i, (x, y) in enumerate(zip(*sets, strict=True)):
-            both = np.concatenate([x, y])
-            both.sort(kind="stable")
-            o[i] = np.count_nonzero(both[1:] == both[:-1])
-        n = [np.array([len(x) for x in s], np.int64) for s in sets]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in (o, n[0], n[1]))], names=["a", "b", "overlap", "na", "nb"])
-
-
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: id, n_shingles, component_id.
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, hot: int = HOT, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """One row per document: id, n_shingles, component_id, n_links.
 
     A document's set holds its distinct k-word shingles (A-Z lower-cased; the whole sequence where it has fewer
-    words). Sets link from a Jaccard similarity of percent / 100; component_id is the smallest id that a document
-    reaches. Equal sets are one set throughout. Shingles are compared by 64-bit hashes.
+    words). Documents link from a Jaccard similarity of percent / 100; component_id is the smallest id that a document
+    reaches, n_links the number of other documents that it links with, equal ones included. Equal sets are one set
+    throughout.
+
+    A leader's sets are dealt in blocks of about block_sets sets and block_shingles shingles; every two blocks meet in
+    one task. A shingle in `hot` sets or more makes no list. None of the three changes the result.
 
     Null and word-less texts have no shingles, link with nothing and form their own components; so do rows with a
-    null id, whose component is null. Repeated rows share a component. An empty table gives an empty result.
+    null id, whose component is null and which nobody counts. Rows that repeat an id share a component if their texts
+    link. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -324,65 +454,56 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = materialize(rows.mapInArrow(name_sets, "id long, n long, name long"), "jaccard-sets")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = max(6, (2 * partitions - 1).bit_length())
-    texts = rows.select("text")
+    texts = rows.where("id is not null").select("text")
     counted = texts.mapInArrow(_count_shingles(k, bits), "bucket long, rest binary, n binary").repartition(partitions, "bucket")
-    top = counted.mapInArrow(_frequent(FREQUENT), "code long, n long").orderBy(F.desc("n"), "code").limit(FREQUENT_MOST)
-    frequent = np.sort(top.select("code").toArrow()["code"].to_numpy().astype(np.int64))
-    postings = texts.mapInArrow(_postings(k, percent, bits, frequent), "bucket long, rest binary, which binary, position binary, names binary, sizes binary")
-    lists = postings.repartition(partitions, "bucket").mapInArrow(_lists(percent), "key long, names binary, sizes binary")
-    lists = materialize(lists.dropDuplicates(["key"]), "jaccard-lists")
-
-    reps = named.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("name").agg(F.min("id").alias("rep"))
-
-    def overlaps_of(pairs: DataFrame, label: str) -> DataFrame:
-        pairs = materialize(pairs.distinct(), f"jaccard-{label}-pairs")
-        used = pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name"))).distinct()
-        chosen = materialize(reps.join(used, "name", "left_semi").select(F.col("rep"), F.col("name").alias("rep_name")), f"jaccard-{label}-reps")
-        side = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
-        # a repeated id brings its row twice; the name tells whether the text is the wanted one
-
-        def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                want, names, blobs = batch.column(1).to_numpy(zero_copy_only=False), [], []
-                for i, hashes in sets_of(batch.column(0), k):
-                    if len(hashes) and set_id(hashes) == want[i]:
-                        names.append(int(want[i]))
-                        blobs.append(hashes.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], names=["name", "sig"])
-
-        sigs = rows.join(side, F.col("id") == F.col("rep")).select("text", "rep_name").mapInArrow(signatures, "name long, sig binary")
-        sigs = materialize(sigs.dropDuplicates(["name"]), f"jaccard-{label}-sigs")
-        left, right = (sigs.select(F.col("name").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
-        full = pairs.join(left, F.col("a") == F.col("na")).join(right, F.col("b") == F.col("nb")).select("a", "b", "sa", "sb")
-        return materialize(full.mapInArrow(_overlaps, "a long, b long, overlap long, na long, nb long"), f"jaccard-{label}-overlaps")
-
-    linked = 100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))
-    first = overlaps_of(lists.select("names", "sizes").mapInArrow(_first_pairs(percent), "a long, b long"), "first")
-    links = first.where(linked).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = materialize(connected_components(links), "jaccard-roots")
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    top = counted.mapInArrow(_frequent(FREQUENT), "code long, n long").orderBy(F.desc("n"), "code").limit(FREQUENT_MOST).toArrow()
+    codes, counts = (top[c].to_numpy().astype(np.int64) for c in ("code", "n"))
+    prefixes, hot_codes = Prefixes(percent, bits, np.sort(codes)), np.sort(codes[counts >= hot])
+    postings = texts.mapInArrow(_postings(k, prefixes, hot_codes), "bucket long, rest binary, which binary, position binary, names binary, sizes binary")
+    pairs = postings.repartition(partitions, "bucket").mapInArrow(_led(percent), "leader long, member long, n long")
+    if len(hot_codes):
+        least = texts.mapInArrow(_hot_leaders(k, prefixes, hot_codes), "code long, leader long").groupBy("code").agg(F.min("leader").alias("leader")).toArrow()
+        order = np.argsort(least["code"].to_numpy())
+        seen, leaders = least["code"].to_numpy()[order], least["leader"].to_numpy()[order]
+        pairs = pairs.unionByName(texts.mapInArrow(_hot_rows(k, prefixes, seen, leaders), "leader long, member long, n long"))
+    pairs = materialize(pairs.distinct(), "jaccard-led")
+
+    blocks = F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / block_sets), F.ceil(F.sum("n") / block_shingles)).cast("long")
+    load = pairs.groupBy("leader").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("sets")).where("sets > 1").select(F.col("leader").alias("x"), "blocks")
+    whose = pairs.join(load, F.col("leader") == F.col("x")).groupBy("member").agg(F.sort_array(F.collect_list(F.struct("leader", "blocks"))).alias("leaders"))
+    reps = named.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("name").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    chosen = reps.join(whose, F.col("name") == F.col("member")).select("rep", "name", "copies", F.col("leaders.leader").alias("leaders"), F.col("leaders.blocks").alias("blocks"))
+    chosen = materialize(chosen, "jaccard-chosen")
+    side = F.broadcast(chosen) if pairs.count() <= BROADCAST_ROWS else chosen
+
+    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each chosen set, once for each of its leaders and pairs of blocks. A repeated id brings other texts: the name tells."""
         for batch in batches:
-            for key, names, sizes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own, n = np.frombuffer(names, np.int64), np.frombuffer(sizes, np.int64)
-                if len(own) > 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), key)), pa.array(np.full(len(own), own[len(own) // 2])), pa.array(own), pa.array(n)], names=["key", "leader", "name", "n"])
-
-    inside = lists.mapInArrow(members, "key long, leader long, name long, n long")
-    inside = inside.join(roots.select(F.col("node"), F.col("root").alias("of")), F.col("name") == F.col("node"), "left").withColumn("root", F.coalesce("of", "name")).drop("node", "of")
-    open_ = inside.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") < F.col("hi")).select(F.col("key").alias("open_key"))
-    known = first.select(F.least("a", "b").alias("ka"), F.greatest("a", "b").alias("kb"), "overlap")
-    still = inside.join(open_, F.col("key") == F.col("open_key"), "left_semi")
-    still = still.join(known, (F.least("leader", "name") == F.col("ka")) & (F.greatest("leader", "name") == F.col("kb")), "left")
-    still = still.select("key", "name", "n", "root", F.when(F.col("name") == F.col("leader"), F.col("n")).otherwise(F.col("overlap")).cast("double").alias("overlap"))
-    more = still.groupBy("key").applyInArrow(_rest_pairs(percent), "a long, b long")
-    more = more.distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = overlaps_of(more, "rest")
-    everything = first.where(linked).unionByName(second.where(linked)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = materialize(connected_components(everything), "jaccard-roots")
-
-    classes = reps.join(roots, F.col("name") == F.col("node"), "left").withColumn("root", F.coalesce("root", "name"))
+            want, copies, leaders, blocks = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3), batch.column(4)
+            for r, hashes in sets_of(batch.column(0), k):
+                if not len(hashes) or set_id(hashes) != want[r]:
+                    continue
+                own, out = np.sort(np.array(leaders[r].as_py(), np.int64)), []
+                for x, nb in zip(leaders[r].as_py(), blocks[r].as_py(), strict=True):
+                    block = int(mix(np.array([want[r] ^ x], np.int64).astype(_U))[0] % _U(nb))
+                    meets = [(min(block, o), max(block, o)) for o in range(nb)]
+                    if x == want[r]:  # every task of the leader needs the leader
+                        meets = [(a, b) for a in range(nb) for b in range(a, nb)]
+                    out += [(x, a, b, block, own[own < x].tobytes()) for a, b in meets]
+                size = len(out)
+                columns = [pa.array([o[c] for o in out], pa.binary() if c == 4 else pa.int64()) for c in range(5)]
+                columns += [pa.array(np.full(size, want[r])), pa.array(np.full(size, copies[r])), pa.array([hashes.tobytes()] * size, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["leader", "i", "j", "block", "earlier", "name", "copies", "sig"])
+
+    sent = rows.join(side, F.col("id") == F.col("rep")).select("text", "name", "copies", "leaders", "blocks")
+    sent = sent.mapInArrow(signatures, "leader long, i long, j long, block long, earlier binary, name long, copies long, sig binary")
+    answers = materialize(sent.groupBy("leader", "i", "j").applyInArrow(_answers(percent), "name long, to long, links long"), "jaccard-answers")
+
+    roots = connected_components(answers.where("name <> to").select(F.col("name").alias("u"), F.col("to").alias("v")))
+    links = answers.groupBy("name").agg(F.sum("links").alias("links")).where("links > 0").select(F.col("name").alias("l_name"), "links")
+    classes = reps.join(roots, F.col("name") == F.col("node"), "left").join(links, F.col("name") == F.col("l_name"), "left")
+    classes = classes.where("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "name")).withColumn("links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
     smallest = classes.groupBy("root").agg(F.min("rep").alias("component")).withColumnRenamed("root", "of_root")
-    classes = classes.join(smallest, F.col("root") == F.col("of_root")).select(F.col("name").alias("c_name"), "component")
+    classes = classes.join(smallest, F.col("root") == F.col("of_root")).select(F.col("name").alias("c_name"), "component", "links")
     out = named.join(classes, (F.col("name") == F.col("c_name")) & (F.col("n") > 0) & F.col("id").isNotNull(), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"))

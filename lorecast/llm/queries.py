@@ -67,7 +67,7 @@ ORACLES = {
         l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
         e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
         r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON r.root = e.a)
-        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, (SELECT count(*) FROM e WHERE e.a = w.doc_id) AS n_links
         FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(root) AS component_id FROM r GROUP BY node) c ON c.node = w.doc_id
     """,
     "op2_warc": """

@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,13 +67,19 @@ def shingles(x):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def check_components(table):
+def linked(a, b):
+    return bool(a) and bool(b) and 100 * len(a & b) >= 80 * len(a | b)
+
+
+def check_components(table, **options):
     rows = [r for r in table.select("doc_id", "text").collect() if r["doc_id"] is not None]
     sets = {r["doc_id"]: shingles(r["text"]) for r in rows}
     want = components(sets)
-    got = {r["doc_id"]: r for r in jaccard_join.jaccard_components(table).collect()}
-    for i in sets:
-        assert (got[i]["n_shingles"], got[i]["component_id"]) == (len(sets[i]), want[i])
+    every = [sets[r["doc_id"]] for r in rows]
+    got = {r["doc_id"]: r for r in jaccard_join.jaccard_components(table, **options).collect()}
+    for i, own in sets.items():
+        links = sum(linked(own, s) for s in every) - bool(own)
+        assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["n_links"]) == (len(own), want[i], links)
 
 
 def test_jaccard_components_equal_brute_force(spark, odd):
@@ -80,7 +87,8 @@ def test_jaccard_components_equal_brute_force(spark, odd):
     assert jaccard_join.jaccard_components(odd).where("doc_id is null").collect()[0]["component_id"] is None
 
 
-def test_jaccard_components_of_many_near_copies(spark, monkeypatch):
+@pytest.mark.parametrize("options", [{}, {"hot": 8}, {"block_sets": 10}, {"hot": 8, "block_shingles": 900}])
+def test_jaccard_components_of_many_near_copies(spark, options):
     import random
 
     rng = random.Random(4)
@@ -90,10 +98,27 @@ def test_jaccard_components_of_many_near_copies(spark, monkeypatch):
         base = [f"g{g}x{i}" for i in range(80)] + common
         for _ in range(45):
             w = list(base)
-            for _ in range(rng.randrange(0, 5)):
+            for _ in range(rng.randrange(0, 9)):
                 w[rng.randrange(len(w))] = f"e{rng.random()}"
-            texts.append(" ".join(w))
-    check_components(docs(spark, texts))
+            texts.append(" ".join(w[: rng.choice([110, 120])]))
+    check_components(docs(spark, texts + texts[:7]), **options)
+
+
+def test_derived_overlaps_equal_intersections():
+    import random
+
+    rng = random.Random(7)
+    for _ in range(60):
+        base = set(rng.sample(range(200), rng.randrange(1, 60)))
+        sets = [base]
+        for _ in range(rng.randrange(1, 9)):
+            sets.append(set(rng.sample(sorted(base), rng.randrange(len(base) + 1))) | set(rng.sample(range(100, 300), rng.randrange(1, 40))))
+        arrays = [np.array(sorted(x), np.uint64) for x in sets]
+        found = jaccard_join.Derived(arrays[0], arrays)
+        for z, x in enumerate(sets):
+            got, want = found.overlaps(z), [len(x & y) for y in sets]
+            assert [o for i, o in enumerate(got) if i != z] == [o for i, o in enumerate(want) if i != z]
+            assert all(found.most(z) >= got)
 
 
 def test_jaccard_edges(spark, empty):
