@@ -111,7 +111,7 @@ def _count_shingles(k: int, bits: int):
         for _, hashes in _distinct_sets(batches, k):
             held.append(hashes.copy())
             size += len(hashes)
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield flush(held)
                 held, size = [], 0
         if size:
@@ -126,8 +126,9 @@ def _frequent(least: int):
         for batch in batches:
             for b, rest, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.setdefault(b, []).append((np.frombuffer(rest, np.uint32), np.frombuffer(n, np.uint16)))
-        for b, parts in held.items():
-            rest, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64)
+        for b in list(held):
+            rest, n = (np.concatenate(x) for x in zip(*held.pop(b), strict=True))
+            n = n.astype(np.int64)
             order = np.argsort(rest, kind="stable")
             rest, n = rest[order], n[order]
             cut = np.flatnonzero(np.diff(rest.astype(np.int64), prepend=-1))
@@ -181,7 +182,7 @@ def _postings(k: int, prefixes: Prefixes, hot: np.ndarray):
             if len(first):
                 held.append((first, name, len(hashes), position))
                 size += len(first)
-            if size > 2_000_000:
+            if size > 1_000_000:
                 yield flush(held)
                 held, size = [], 0
         if held:
