@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval, then word subsequences and answers.
 
-Documents are cut into blocks of BLOCK words; windows of one, two, four ... blocks are the passages. The terms are the
-benchmark's: other words add nothing to a product with a benchmark passage. A randomised SVD of the TF-IDF passages
-(corpus and benchmark) gives a latent space; passages near a benchmark item in it are candidates; a candidate is a leak
-if enough of the item's words stand in it in order.
+Documents are cut into blocks of BLOCK words; windows of one, two, four ... blocks are the passages. The terms are all
+words of the benchmark: other words add nothing to a product with a benchmark passage. A randomised SVD of the TF-IDF
+passages (corpus and benchmark) gives a latent space; passages near a benchmark item in it are candidates; a candidate
+is a leak if enough of the item's words stand in it in order.
 """
 
 from __future__ import annotations
@@ -15,18 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import ship
+from .shared import materialize, ship
 from .textkit import Words, chunks, text_bytes
 from .toxicity import PUNCTUATION
 
 BLOCK = 16
-#: Terms that are in a larger share of all blocks weigh nothing ...
-COMMON = 0.005
-#: But of each item so many of its rarest terms always do, even if the item itself is all over the corpus.
-KEPT_TERMS = 8
-#: Words that all benchmark items together may have: what every task holds.
-BENCHMARK_WORDS_MOST = 5_000_000
+#: Items are searched in slices of about so many words, each with a latent space of its own: what a task holds of them.
+SLICE_WORDS = 100_000
 TERMS_IN_BLOB = 512
 
 
@@ -38,34 +35,42 @@ def fold(data: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """The benchmark: per item its words' hashes, and the vocabulary of all items."""
+    """Some of the benchmark: per item its words' hashes and its answer's, and the vocabulary of them all."""
 
     def __init__(self, ids: list, texts: list):
         self.ids, self.words, self.answers = [], [], []
         for i, t in zip(ids, texts, strict=True):
             words = _hashes(t or "")
-            if i is not None and len(words):
+            if len(words):
                 self.ids.append(i)
                 self.words.append(words)
                 parts = [p for p in re.split(r"(?<=[.?!])\s+", t.strip()) if p]
                 answer = _hashes(parts[-1])
                 self.answers.append(answer if len(answer) >= 3 else words[-5:])
         self.vocabulary = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, np.uint64)
-        self.sieve = _sieve(self.vocabulary)
+        self.sieve = np.zeros(1 << 16, bool)
+        self.sieve[(self.vocabulary >> np.uint64(48)).astype(np.int64)] = True
         self.scale = np.array([max(0, int(np.ceil(np.log2(max(1, len(w)) / BLOCK)))) for w in self.words], np.int64)
+        self.terms = [np.searchsorted(self.vocabulary, w) for w in self.words]
 
+    def project(self, weighted: np.ndarray) -> np.ndarray:
+        """The sum of each item's rows of a table of terms."""
+        return np.stack([weighted[t].sum(axis=0) for t in self.terms]) if self.terms else np.zeros((0, weighted.shape[1]))
 
-    def keep_terms(self, wanted: np.ndarray) -> None:
-        """Leave only some terms in the vocabulary: those without weight need not be looked up again."""
-        self.vocabulary = self.vocabulary[wanted]
-        self.sieve = _sieve(self.vocabulary)
 
-    def terms(self, words: np.ndarray) -> np.ndarray:
-        """Numbers of the words that are in the vocabulary."""
-        if not len(self.vocabulary):
-            return np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
-        return at[self.vocabulary[at] == words]
+def slices(benchmark: DataFrame) -> Iterator[Items]:
+    """The items in order, as many together as have SLICE_WORDS words; an item that has more stands alone."""
+    ids, texts, held = [], [], 0
+    for i, t in benchmark.orderBy(*benchmark.columns).toLocalIterator():
+        n = (t or "").count(" ") + 1
+        if ids and held + n > SLICE_WORDS:
+            yield Items(ids, texts)
+            ids, texts, held = [], [], 0
+        ids.append(i)
+        texts.append(t)
+        held += n
+    if ids:
+        yield Items(ids, texts)
 
 
 def _hashes(text: str) -> np.ndarray:
@@ -91,14 +96,8 @@ class Blocks:
         self.n = int(self.first[-1])
 
 
-def _sieve(vocabulary: np.ndarray) -> np.ndarray:
-    out = np.zeros(1 << 16, bool)
-    out[(vocabulary >> np.uint64(48)).astype(np.int64)] = True
-    return out
-
-
 def _over_blocks(items: Items, handle):
-    """Run handle(blocks, global offset of the texts, lo) over all chunks of the batches' first text column."""
+    """Run handle(blocks, index of the first text) over all chunks of a text column."""
 
     def run(column: pa.Array) -> Iterator:
         data, offsets = text_bytes(column)
@@ -108,28 +107,52 @@ def _over_blocks(items: Items, handle):
     return run
 
 
+def _block_terms(items: Items):
+    """The rows of the TF-IDF matrix, many to a table row: number of blocks, terms in each block that has any, the terms."""
+
+    def handle(blocks: Blocks, _: int) -> tuple[int, bytes, bytes]:
+        counts = np.bincount(blocks.block, minlength=blocks.n) if len(blocks.block) else np.zeros(0, np.int64)
+        return blocks.n, counts[counts > 0].astype(np.uint8).tobytes(), blocks.term.astype(np.uint32).tobytes()
+
+    walk = _over_blocks(items, handle)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = list(walk(batch.column(0)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in ((0, pa.int64()), (1, pa.binary()), (2, pa.binary()))], names=["n", "counts", "terms"])
+
+    return run
+
+
+def _rows_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Number of blocks, the start of each block's terms, the terms."""
+    for n, counts, terms in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        ends = np.cumsum(np.frombuffer(counts, np.uint8), dtype=np.int64)
+        yield n, np.concatenate([[0], ends])[:-1] if len(ends) else ends, np.frombuffer(terms, np.uint32).astype(np.int64)
+
+
 def _in_parts(total: np.ndarray) -> pa.RecordBatch:
     """An array over all terms, in rows of TERMS_IN_BLOB terms, to be summed by part."""
     parts = range(0, len(total), TERMS_IN_BLOB)
-    return pa.RecordBatch.from_arrays([pa.array(list(range(len(parts))), pa.int64()), pa.array([total[i : i + TERMS_IN_BLOB].tobytes() for i in parts], pa.binary())], names=["part", "sums"])
+    return pa.RecordBatch.from_arrays([pa.array(list(range(len(parts))), pa.int64()), pa.array([total[i : i + TERMS_IN_BLOB].astype(np.float32).tobytes() for i in parts], pa.binary())], names=["part", "sums"])
 
 
 def _sum_parts(df: DataFrame, shape: tuple) -> np.ndarray:
-    """Sum over tasks of arrays in parts, added up by part on the executors; the sum itself is as large as the vocabulary."""
+    """Sum over tasks of arrays in parts, added up by part on the executors; the sum itself is as large as a slice's vocabulary."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = np.frombuffer(x, np.float64)
+                x = np.frombuffer(x, np.float32).astype(np.float64)
                 held[k] = held[k] + x if k in held else x
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["part", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.astype(np.float32).tobytes() for x in held.values()], pa.binary())], names=["part", "sums"])
 
     n = max(1, -(-shape[0] // TERMS_IN_BLOB))
-    out = np.zeros(shape)
-    for r in df.repartition(n, "part").mapInArrow(add, "part long, sums binary").collect():
-        piece = np.frombuffer(r["sums"], np.float64).reshape(-1, *shape[1:])
+    out = np.zeros(shape, np.float32)
+    for r in df.repartition(n, "part").mapInArrow(add, "part long, sums binary").toLocalIterator():
+        piece = np.frombuffer(r["sums"], np.float32).reshape(-1, *shape[1:])
         out[r["part"] * TERMS_IN_BLOB : r["part"] * TERMS_IN_BLOB + len(piece)] = piece
     return out
 
@@ -143,80 +166,73 @@ def _latent_blocks(blocks: Blocks, weighted: np.ndarray) -> np.ndarray:
     return out
 
 
-def _document_frequencies(texts: DataFrame, items: Items) -> tuple[np.ndarray, int]:
-    v = len(items.vocabulary)
-
-    def handle(blocks: Blocks, _: int) -> tuple[np.ndarray, int]:
-        pairs = np.unique(blocks.block * v + blocks.term)
-        return np.bincount(pairs % v, minlength=v), blocks.n
-
-    walk = _over_blocks(items, handle)
+def _document_frequencies(matrix: DataFrame, v: int) -> np.ndarray:
+    """In how many blocks each term is, and at the end the number of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(v + 1)
         for batch in batches:
-            for counts, n in walk(batch.column(0)):
-                total[:v] += counts
+            for n, starts, terms in _rows_of(batch):
+                block = np.searchsorted(starts, np.arange(len(terms)), "right")
+                total[:v] += np.bincount(np.unique(block * v + terms) % v, minlength=v)
                 total[v] += n
         yield _in_parts(total)
 
-    found = _sum_parts(texts.mapInArrow(run, "part long, sums binary"), (v + 1,))
-    return found[:v], int(found[v])
+    return _sum_parts(matrix.mapInArrow(run, "part long, sums binary"), (v + 1,)).astype(np.float64)
 
 
-def _item_matrix(items: Items, idf: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(items.ids), len(idf)), np.float32)
-    for i, w in enumerate(items.words):
-        np.add.at(out[i], items.terms(w), 1)
-    return out * idf.astype(np.float32)
+def _gram_times(matrix: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A' (A R) for the corpus part A of the TF-IDF matrix; tasks add it up over their blocks."""
+    weighted, shape = (right * idf[:, None]).astype(np.float32), right.shape
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape)
+        for batch in batches:
+            for _, starts, terms in _rows_of(batch):
+                if len(terms):
+                    rows = np.add.reduceat(weighted[terms], starts, axis=0)
+                    block = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(terms))))
+                    order = np.argsort(terms, kind="stable")
+                    cut = np.flatnonzero(np.diff(terms[order], prepend=-1))
+                    total[terms[order][cut]] += np.add.reduceat(rows[block[order]], cut, axis=0)
+        yield _in_parts(total * idf[:, None])
 
-def latent_space(texts: DataFrame, items: Items, rank: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Inverse document frequencies of the terms that weigh anything (the items keep only those), and an orthonormal basis (terms by rank) for the passages' leading right vectors.
+    return _sum_parts(matrix.mapInArrow(run, "part long, sums binary"), shape)
 
-    One step of the randomised range finder: Z = A' (A G) for a seeded Gaussian G, A holding the corpus blocks and
-    the items, whose rows are scaled up so that both parts of A weigh alike. Tasks add A' (A G) over their blocks.
-    """
-    df, n = _document_frequencies(texts, items)
-    wanted = df <= max(COMMON * n, 3)
-    for words in items.words:
-        own = np.unique(items.terms(words))
-        wanted[own[np.argsort(df[own], kind="stable")[:KEPT_TERMS]]] = True
-    items.keep_terms(wanted)
-    idf = (np.log((n + 1) / (df + 1)) + 0.1)[wanted]
-    v = len(idf)
-    rank = min(rank, v)
-    if not rank:
-        return idf, np.zeros((0, 0), np.float32)
-    gauss = np.random.default_rng(seed).normal(size=(v, rank)).astype(np.float32)
-    weighted = gauss * idf.astype(np.float32)[:, None]
-
-    def handle(blocks: Blocks, _: int) -> tuple[np.ndarray, np.ndarray]:
-        y = _latent_blocks(blocks, weighted)
-        order = np.argsort(blocks.term, kind="stable")
-        terms = blocks.term[order]
-        cut = np.flatnonzero(np.diff(terms, prepend=-1))
-        sums = np.add.reduceat(y[blocks.block[order]], cut, axis=0) if len(cut) else np.zeros((0, rank), np.float32)
-        return terms[cut], sums * idf[terms[cut]][:, None]
 
-    walk = _over_blocks(items, handle)
+def latent_space(texts: DataFrame, items: Items, rank: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inverse document frequencies of the terms, right singular vectors (terms by rank) and singular values.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((v, rank))
-        for batch in batches:
-            for terms, sums in walk(batch.column(0)):
-                total[terms] += sums
-        yield _in_parts(total)
-
-    z = _sum_parts(texts.mapInArrow(run, "part long, sums binary"), (v, rank))
-    own = _item_matrix(items, idf).astype(np.float64)
-    mass = np.linalg.norm(z)
-    z_items = own.T @ (own @ gauss.astype(np.float64))
-    other = np.linalg.norm(z_items)
-    if other > 0:
-        z = z / mass + z_items / other if mass > 0 else z_items / other
-    q, _ = np.linalg.qr(z)
-    return idf, q.astype(np.float32)
+    A randomised SVD: with A the TF-IDF rows of all corpus blocks and items (the items' scaled up so that both parts
+    weigh alike), a range finder Q = qr(A'A G) for a seeded Gaussian G; a power step Z = A'A Q; and from both the
+    rank-r decomposition Z (Q'Z)^-1 Z' of A'A by a Cholesky factor and a small SVD. The two passes over the corpus read
+    its blocks' term numbers, which are written once.
+    """
+    v = len(items.vocabulary)
+    matrix = materialize(texts.mapInArrow(_block_terms(items), "n long, counts binary, terms binary"), "benchmark-terms")
+    found = _document_frequencies(matrix, v)
+    idf = np.log((found[v] + 1) / (found[:v] + 1)) + 0.1
+    rank = min(rank, v)
+    weights: list[float] = []
+
+    def times(right: np.ndarray) -> np.ndarray:
+        rows = items.project(right * idf[:, None])
+        own = np.zeros(right.shape)
+        np.add.at(own, np.concatenate(items.terms), np.repeat(rows, [len(t) for t in items.terms], axis=0))
+        parts = [_gram_times(matrix, idf, right).astype(np.float64), own * idf[:, None]]
+        if not weights:
+            weights.extend(1 / norm if (norm := np.linalg.norm(p)) > 0 else 0.0 for p in parts)
+        return parts[0] * weights[0] + parts[1] * weights[1]
+
+    q, _ = np.linalg.qr(times(np.random.default_rng(seed).normal(size=(v, rank))))
+    z = times(q)
+    shift = 1e-7 * np.linalg.norm(z)
+    z += shift * q
+    core = q.T @ z
+    core = (core + core.T) / 2
+    core += np.eye(rank) * max(0.0, 1e-9 * np.trace(core) - np.linalg.eigvalsh(core)[0])
+    vectors, values, _ = np.linalg.svd(np.linalg.solve(np.linalg.cholesky(core), z.T).T, full_matrices=False)
+    return idf, vectors.astype(np.float32), np.sqrt(np.maximum(values**2 - shift, 0))
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -240,31 +256,34 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     `cosine` and it holds at least `share` of the item's weight there. It is a leak if the longest common subsequence
     of words covers `subsequence` of the item, or `with_answer` of it and its answer is found: the item's last sentence
     (its last five words, where that is shorter than three), four fifths of whose words must follow each other
-    in the window. word_start is the first word of the best window. Every window of every text is compared with every
-    item; items are a stated query set of at most BENCHMARK_WORDS_MOST words (an error beyond).
+    in the window. word_start is the first word of the best window. Every window of every text, however long, is
+    compared with every item; items are a stated query set, searched in slices of SLICE_WORDS words.
 
-    Null and empty texts and items match nothing; rows with a null id can match and carry it. Repeated rows give a
-    row each. Without benchmark items, or documents, the result is empty.
+    Null and empty texts and items match nothing; rows and items with a null id can match and carry it. Repeated rows
+    give a row each, and so do repeated items. Without benchmark items, or documents, the result is empty. Other
+    columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     ship(spark)
-    size = benchmark.agg(F.sum(F.octet_length(F.col(item_text_col)))).first()[0] or 0
-    if size > 8 * BENCHMARK_WORDS_MOST:
-        raise ValueError("the benchmark is too large to be held by every task; split it")
-    found = benchmark.select(item_col, item_text_col).orderBy(item_col, item_text_col).collect()
-    items = Items([r[0] for r in found], [r[1] for r in found])
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind, item_kind = rows.schema["id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    chosen = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
+    kind, item_kind = (x.dataType.simpleString() for x in (rows.schema["id"], chosen.schema["item"]))
     shape = f"{id_col} {kind}, {item_col} {item_kind}, cosine double, lcs_ratio double, answer_found boolean, word_start long"
-    if not items.ids:
-        return spark.createDataFrame([], shape)
-    idf, basis = latent_space(rows.select("text"), items, rank, seed)
-    weighted = basis * idf.astype(np.float32)[:, None]
-    queries = _item_matrix(items, idf) @ basis
+    out = spark.createDataFrame([], shape)
+    for items in slices(chosen):
+        if items.ids:
+            idf, basis, _ = latent_space(rows.select("text"), items, rank, seed)
+            search = searcher(items, basis * idf.astype(np.float32)[:, None], cosine, share, subsequence, with_answer, to_arrow_type(chosen.schema["item"].dataType))
+            out = out.unionByName(rows.mapInArrow(search, shape.replace(f"{id_col} ", "doc ", 1).replace(f", {item_col} ", ", item ", 1)).toDF(*out.columns))
+    return out
+
+
+def searcher(items: Items, weighted: np.ndarray, cosine: float, share: float, subsequence: float, with_answer: float, item_type: pa.DataType):
+    """A mapInArrow function from (id, text) to the leaks of some items."""
+    queries = items.project(weighted).astype(np.float32)
     norms = np.linalg.norm(queries, axis=1)
     scales = [(s, np.flatnonzero((items.scale == s) & (norms > 0))) for s in np.unique(items.scale).tolist()]
     least = {s: max(1e-6, share * float(norms[which].min())) if len(which) else np.inf for s, which in scales}
-    plain = np.flatnonzero(norms <= 0)
 
     def shifted(x: np.ndarray, by: int, last: np.ndarray) -> np.ndarray:
         out = np.zeros_like(x)
@@ -290,9 +309,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                     near = (dots >= cosine * long_[part][:, None] * norms[which][None, :]) & (dots >= share * norms[which][None, :] ** 2)
                     for r, c in zip(*np.nonzero(near), strict=True):
                         verify(blocks, int(part[r]), n, int(which[c]), float(dots[r, c] / (long_[part[r]] * norms[which[c]])), best)
-        for item in plain.tolist():  # items of common words only have no place in the latent space
-            for b in range(blocks.n):
-                verify(blocks, b, 1 << int(items.scale[item]), item, 0.0, best)
         return [(lo + doc, items.ids[i], *v) for (doc, i), v in best.items()]
 
     def verify(blocks: Blocks, block: int, n: int, item: int, cos: float, best: dict) -> None:
@@ -301,6 +317,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         start = max(w0, w0 + (block - blocks.first[doc] - 1) * BLOCK)
         passage = blocks.words.hashes[start : min(w1, w0 + (block - blocks.first[doc] + n + 1) * BLOCK)]
         want = items.words[item]
+        if np.count_nonzero(np.isin(want, passage)) < with_answer * len(want):
+            return  # a subsequence has no more words than both share
         ratio = common_subsequence(want, passage) / len(want)
         if ratio < with_answer:
             return
@@ -318,6 +336,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             hits = [h for part in walk(batch.column(1)) for h in part]
             if hits:
                 ids = batch.column(0).take(pa.array([h[0] for h in hits], pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array([h[i] for h in hits], t) for i, t in ((1, None), (2, pa.float64()), (3, pa.float64()), (4, pa.bool_()), (5, pa.int64())))], names=[id_col, item_col, "cosine", "lcs_ratio", "answer_found", "word_start"])
+                kinds = ((1, item_type), (2, pa.float64()), (3, pa.float64()), (4, pa.bool_()), (5, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array([h[i] for h in hits], t) for i, t in kinds)], names=["doc", "item", "cosine", "lcs_ratio", "answer_found", "word_start"])
 
-    return rows.mapInArrow(search, shape)
+    return search

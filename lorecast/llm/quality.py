@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import held_out, platt, score_batches, sigmoid, training_rows
+from .labelled import fit_in_task, held_out, platt, score_batches, sigmoid
 from .textkit import Words, chunks, mix, prefix_hashes, seeded, text_bytes
 
 BUCKET_BITS = 18
@@ -112,17 +113,8 @@ def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, scale: np.nda
     return w
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 2500, text_bytes_most: int = 100_000, threshold: float = 0.3) -> DataFrame:
-    """One row per document: id, held_out, score (chance of quality 1), predicted (score >= threshold).
-
-    The model is fitted on at most per_class labelled rows of either class (none held out, none over
-    text_bytes_most bytes); a fifth of them turns margins into chances, and the shares of the classes in the sample
-    are put back to those among all labelled rows. Every whole text is scored by nothing but its n-grams.
-
-    Null texts count as empty; a text without words has margin 0. Without labels of both classes every score is the
-    share of class 1. Repeated rows get equal scores. Other columns are ignored.
-    """
-    sample, share = training_rows(docs, labels, label_col, id_col, text_col, per_class, text_bytes_most)
+def fit_model(sample: pa.Table, share: float) -> Model | None:
+    """The model from labelled texts; a fifth of them turns margins into chances. Without both classes: None."""
     y = np.array(sample["y"].to_pylist(), dtype=np.float64)
     data, offsets = text_bytes(sample["text"])
     rows: list[np.ndarray] = []
@@ -131,20 +123,36 @@ def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         rows += [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
     check = np.arange(len(y)) % 5 == 4
     fit = np.flatnonzero(~check)
-    if len(fit) and 0 < y[fit].sum() < len(fit):
-        ratio = log_count_ratio([rows[i] for i in fit], y[fit])
-        weights = dual_coordinate_descent([rows[i] for i in fit], y[fit], ratio)
-        model = Model(ratio.astype(np.float32), weights.astype(np.float32))
-        kept = np.flatnonzero(check) if check.any() and 0 < y[check].sum() < check.sum() else fit
-        margins = np.concatenate([model.margins(rows[i], np.array([0, len(rows[i])])) for i in kept])
-        model.slope, model.offset = platt(margins, y[kept])
-        balance, share = y[kept].mean(), min(max(share, 1e-4), 1 - 1e-4)
-        model.offset += float(np.log(share / (1 - share)) - np.log(balance / (1 - balance)))
-        score = model.score
-    else:
+    if not (len(fit) and 0 < y[fit].sum() < len(fit)):
+        return None
+    ratio = log_count_ratio([rows[i] for i in fit], y[fit])
+    weights = dual_coordinate_descent([rows[i] for i in fit], y[fit], ratio)
+    model = Model(ratio.astype(np.float32), weights.astype(np.float32))
+    kept = np.flatnonzero(check) if check.any() and 0 < y[check].sum() < check.sum() else fit
+    margins = np.concatenate([model.margins(rows[i], np.array([0, len(rows[i])])) for i in kept])
+    model.slope, model.offset = platt(margins, y[kept])
+    balance, share = y[kept].mean(), min(max(share, 1e-4), 1 - 1e-4)
+    model.offset += float(np.log(share / (1 - share)) - np.log(balance / (1 - balance)))
+    return model
+
+
+def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 2500, text_bytes_most: int = 100_000, class_bytes_most: int = 1 << 25, threshold: float = 0.3) -> DataFrame:
+    """One row per document: id, held_out, score (chance of quality 1), predicted (score >= threshold).
+
+    One task fits the model on at most per_class labelled rows of either class (none held out, none over
+    text_bytes_most bytes, at most class_bytes_most bytes a class); a fifth of them turns margins into chances, and the
+    shares of the classes in the sample are put back to those among all labelled rows. Every whole text is scored by
+    nothing but its n-grams, however long it is.
+
+    Null texts count as empty; a text without words has margin 0. Labels other than 0 and 1, null labels and labels
+    without an id count for nothing; of several labels of one id the largest counts. Without labels of both classes
+    every score is the share of class 1. Repeated rows get equal scores; a null id is never held out. An empty table
+    gives an empty result. Other columns are ignored, whatever their names.
+    """
+    model, share = fit_in_task(docs, labels, label_col, id_col, text_col, per_class, text_bytes_most, class_bytes_most, fit_model)
 
-        def score(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-            return np.full(len(offsets) - 1, share)
+    def score(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return model.score(data, offsets) if model else np.full(len(offsets) - 1, share)
 
     rows_df = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     scored = rows_df.mapInArrow(score_batches(score, 1), f"__id {rows_df.schema['__id'].dataType.simpleString()}, score double")

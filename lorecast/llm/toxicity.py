@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import held_out, score_batches, sigmoid, training_rows
+from .labelled import fit_in_task, held_out, score_batches, sigmoid
 from .textkit import Words, chunks, prefix_hashes, text_bytes
 
 BUCKET_BITS, DIM, WIDTHS, FILTERS, PREFIXES = 18, 8, (1, 2, 3), 8, (4, 6)
@@ -127,60 +128,75 @@ def train_network(ids: list[np.ndarray], y: np.ndarray, epochs: int = 6, batch:
     return net
 
 
-def language_thresholds(scores: np.ndarray, y: np.ndarray, langs: list, least: int = 20) -> dict:
+def language_thresholds(scores: np.ndarray, y: np.ndarray, langs: list, weights: np.ndarray | None = None, least: int = 20) -> dict:
     """The score from which a language's rows are rejected: that of the best F1, or 0.5 where there is too little to tell.
 
-    Between the best cut's neighbours the middle is taken, and it stays within 0.2 and 0.8.
+    Weights put the classes' shares right where rows were drawn by class. Between the best cut's neighbours the middle
+    is taken, and it stays within 0.2 and 0.8.
     """
     found = {}
     langs = np.array([x if x is not None else "" for x in langs], dtype=object)
+    weights = np.ones(len(y)) if weights is None else weights
     for lang in sorted(set(langs)):
-        s, t = scores[langs == lang], y[langs == lang]
+        own = langs == lang
+        s, t, w = scores[own], y[own], weights[own]
         if t.sum() < least or (1 - t).sum() < least:
             continue
         order = np.argsort(-s, kind="stable")
-        s, t = s[order], t[order]
-        f1 = 2 * np.cumsum(t) / (np.arange(1, len(t) + 1) + t.sum())
+        s, t, w = s[order], t[order], w[order]
+        f1 = 2 * np.cumsum(t * w) / (np.cumsum(w) + (t * w).sum())
         k = int(f1.argmax())
         found[lang] = float(np.clip((s[k] + (s[k + 1] if k + 1 < len(s) else 0.0)) / 2, 0.2, 0.8))
     return found
 
 
-def classify_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1500, text_bytes_most: int = 100_000, epochs: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, held_out, score, predicted (score >= 0.5), threshold and rejected (by language).
-
-    The network learns from at most per_class labelled rows of either class (none held out, none over
-    text_bytes_most bytes) and reads nothing but the text; a fifth of the sample sets the offset and, per language,
-    the threshold. The offset puts the classes' shares in the sample back to those among all labelled rows. Every
-    whole text is scored, however long.
+def fit_network(epochs: int):
+    """Network and thresholds from labelled texts, four fifths for the first and one for the second; None without both classes."""
 
-    Null texts count as empty; a text without words gets the score of an empty one. Without labels of both classes
-    every score is the share of class 1. Repeated rows get equal scores. Columns named in `keep` are carried along.
-    """
-    sample, share = training_rows(docs, labels, label_col, id_col, text_col, per_class, text_bytes_most)
-    y = np.array(sample["y"].to_pylist(), dtype=np.float64)
-    data, offsets = text_bytes(sample["text"])
-    ids: list[np.ndarray] = []
-    for lo, hi in chunks(offsets):
-        found, at = tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-        ids += [found[:, a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-    thresholds: dict = {}
-    if 0 < y.sum() < len(y):
+    def fit(sample: pa.Table, share: float) -> tuple[Network, dict] | None:
+        y = np.array(sample["y"].to_pylist(), dtype=np.float64)
+        data, offsets = text_bytes(sample["text"])
+        ids: list[np.ndarray] = []
+        for lo, hi in chunks(offsets):
+            found, at = tokens(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            ids += [found[:, a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
         check = np.arange(len(y)) % 5 == 4
-        fit = np.flatnonzero(~check)
-        net = train_network([ids[i] for i in fit], y[fit], epochs)
-        balance = y[fit].mean()
-        share = min(max(share, 1e-4), 1 - 1e-4)
+        learn, kept = np.flatnonzero(~check), np.flatnonzero(check)
+        if not 0 < y[learn].sum() < len(learn):
+            return None
+        net = train_network([ids[i] for i in learn], y[learn], epochs)
+        balance, share = y[learn].mean(), min(max(share, 1e-4), 1 - 1e-4)
         net.base += float(np.log(share / (1 - share)) - np.log(balance / (1 - balance)))
-        if check.any():
-            kept = np.flatnonzero(check)
-            scores = np.concatenate([net.score(data[offsets[i] : offsets[i + 1]], offsets[i : i + 2] - offsets[i]) for i in kept])
-            thresholds = language_thresholds(scores, y[kept], [sample["lang"][int(i)].as_py() for i in kept])
-        score = net.score
-    else:
-
-        def score(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-            return np.full(len(offsets) - 1, share)
+        if not len(kept):
+            return net, {}
+        scores = np.concatenate([net.score(data[offsets[i] : offsets[i + 1]], offsets[i : i + 2] - offsets[i]) for i in kept])
+        there = min(max(y[kept].mean(), 1e-4), 1 - 1e-4)
+        weights = np.where(y[kept] > 0, share / there, (1 - share) / (1 - there))
+        return net, language_thresholds(scores, y[kept], [sample["lang"][int(i)].as_py() for i in kept], weights)
+
+    return fit
+
+
+def classify_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = 1500, text_bytes_most: int = 100_000, class_bytes_most: int = 1 << 25, epochs: int = 6, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: id, held_out, score, predicted (score >= 0.5), threshold and rejected (by language).
+
+    One task trains the network on at most per_class labelled rows of either class (none held out, none over
+    text_bytes_most bytes, at most class_bytes_most bytes a class), of which a fifth is kept aside to set the threshold
+    of each language. The network reads nothing but the text; its offset puts the classes' shares in the sample back
+    to those among all labelled rows, and the thresholds weigh the classes by the same shares. Every whole text is
+    scored, however long.
+
+    Null texts count as empty; a text without words gets the score of an empty one. Labels other than 0 and 1, null
+    labels and labels without an id count for nothing; of several labels of one id the largest counts. Without labels
+    of both classes every score is the share of class 1. Repeated rows get equal scores; a null id is never held out.
+    A null language has the threshold 0.5 or its own, as any. An empty table gives an empty result. Columns named in
+    `keep` are carried along (unless named like a column of the result); others are ignored, whatever their names.
+    """
+    fitted, share = fit_in_task(docs, labels, label_col, id_col, text_col, per_class, text_bytes_most, class_bytes_most, fit_network(epochs))
+    net, thresholds = fitted or (None, {})
+
+    def score(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return net.score(data, offsets) if net else np.full(len(offsets) - 1, share)
 
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("__id"), lang.alias("__lang"), F.col(text_col).alias("__text"), *(F.col(c).alias(f"__keep_{i}") for i, c in enumerate(keep)))
