@@ -1,20 +1,39 @@
-"""Text functions: tokenizers, similarity and checks. Built-in expressions where they suffice, Arrow UDFs for Unicode forms."""
+"""Text functions: tokenizers, similarity and checks, as built-in expressions; only Unicode forms are Arrow UDFs."""
 
 from __future__ import annotations
 
-import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import StringType
 
-_WORD = re.compile(r"[^\W_]+")
-#: Fixed ranges: Han with its extensions, and Hangul.
-_HAN_OR_HANGUL = re.compile("[㐀-䶿一-鿿\U00020000-\U0002fa1f]+|[ᄀ-ᇿ㄰-㆏가-힯]+")
-#: Fixed ranges: kana and unified ideographs.
-_KANA_KANJI = re.compile("[぀-ゟ゠-ヿ一-鿿]")
+#: Character ranges of Han with its extensions, of Hangul, and of kana with unified ideographs.
+HAN = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{20000}-\x{2FA1F}"
+HANGUL = r"\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{AC00}-\x{D7AF}"
+KANA_KANJI = r"\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}"
+WORDS = r"[\p{L}\p{N}]+"
+
+
+def _form(name: str, fold: bool = True):
+    """A Unicode form, case-folded or not, which no built-in function gives; null counts as empty."""
+
+    @F.pandas_udf(StringType())
+    def form(text: pd.Series) -> pd.Series:
+        found = text.fillna("").map(lambda x: unicodedata.normalize(name, x))
+        return found.str.casefold() if fold else found
+
+    return form
+
+
+nfkc, nfkc_folded, nfc_folded = _form("NFKC", False), _form("NFKC"), _form("NFC")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value being computed once; what a lambda of body refers to is then no Python UDF."""
+    return F.transform(F.array(value), body)[0]
 
 
 def word_tokens(text: Column) -> Column:
@@ -22,59 +41,46 @@ def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
 
 
-def japanese_tokens(text: str) -> list[str]:
-    """Words of letters and digits as they are; kana and kanji singly, and each with the one right before it."""
-    out, word, last = [], "", ""
-    for ch in unicodedata.normalize("NFKC", text or "").casefold() + " ":
-        native = bool(_KANA_KANJI.match(ch))
-        if ch.isalnum() and not native:
-            word, last = word + ch, ""
-            continue
-        if word:
-            out.append(word)
-            word = ""
-        if native:
-            out += [ch, last + ch] if last else [ch]
-        last = ch if native else ""
-    return out
-
-
-def cjk_tokens(text: str) -> list[str]:
-    """Words, then the bigrams of each Han or Hangul run (a run of one counts itself unless it is a word)."""
-    folded = unicodedata.normalize("NFKC", text or "").casefold()
-    words = _WORD.findall(folded)
-    out, known = list(words), set(words)
-    for run in _HAN_OR_HANGUL.findall(folded):
-        out += [a + b for a, b in zip(run, run[1:])]  # noqa: B905
-        if len(run) == 1 and run not in known:
-            out.append(run)
-    return out
-
-
-def latin_tokens(text: str) -> list[str]:
-    """Words, then each pair of neighbours."""
-    words = _WORD.findall(unicodedata.normalize("NFC", text or "").casefold())
-    return words + ["_".join(p) for p in zip(words, words[1:])]  # noqa: B905
+def _pairs(items: Column, joined) -> Column:
+    """joined(x, y) of each item x and the next, y."""
+    return F.zip_with(F.slice(items, 1, F.greatest(F.size(items) - 1, F.lit(0))), F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(0))), joined)
+
+
+def _characters(run: Column) -> Column:
+    return F.regexp_extract_all(run, F.lit("(?s)."), 0)
+
 
+def japanese_tokens(text: Column) -> Column:
+    """Runs of letters and digits as they are; of a run of kana and kanji each character, followed from the second on by its pair with the one before."""
+    native = f"[{KANA_KANJI}]"
+    runs = F.regexp_extract_all(nfkc_folded(text), F.lit(rf"{native}+|[\p{{L}}\p{{N}}&&[^{KANA_KANJI}]]+"), 0)
 
-@F.pandas_udf(ArrayType(StringType()))
-def japanese_tokens_udf(text: pd.Series) -> pd.Series:
-    return text.map(japanese_tokens)
+    def spread(run: Column) -> Column:
+        chars = _characters(run)
+        return F.concat(F.slice(chars, 1, 1), F.flatten(_pairs(chars, lambda x, y: F.array(y, F.concat(x, y)))))
 
+    return F.flatten(F.transform(runs, lambda r: F.when(r.rlike(f"^{native}"), spread(r)).otherwise(F.array(r))))
 
-@F.pandas_udf(ArrayType(StringType()))
-def cjk_tokens_udf(text: pd.Series) -> pd.Series:
-    return text.map(cjk_tokens)
 
+def cjk_tokens(text: Column) -> Column:
+    """Words, then the character pairs of each Han or Hangul run (a run of one counts itself unless it is a word)."""
+    def spread(folded: Column) -> Column:
+        words, runs = (F.regexp_extract_all(folded, F.lit(p), 0) for p in (WORDS, f"[{HAN}]+|[{HANGUL}]+"))
+        alone = lambda r: F.when(F.array_contains(words, r), F.array().cast("array<string>")).otherwise(F.array(r))
+        return F.concat(words, F.flatten(F.transform(runs, lambda r: F.when(F.length(r) == 1, alone(r)).otherwise(_pairs(_characters(r), F.concat)))))
 
-@F.pandas_udf(ArrayType(StringType()))
-def latin_tokens_udf(text: pd.Series) -> pd.Series:
-    return text.map(latin_tokens)
+    return let(nfkc_folded(text), spread)
+
+
+def latin_tokens(text: Column) -> Column:
+    """Words, then each pair of neighbours."""
+    words = F.regexp_extract_all(nfc_folded(text), F.lit(WORDS), 0)
+    return let(words, lambda w: F.concat(w, _pairs(w, lambda x, y: F.concat_ws("_", x, y))))
 
 
 def tokens_by_language(text: Column, lang: Column) -> Column:
     """The tokenizer of a text's language: Japanese, Korean and Chinese have their own, all others are Latin."""
-    return F.when(lang == "ja", japanese_tokens_udf(text)).when(lang.isin("ko", "zh"), cjk_tokens_udf(text)).otherwise(latin_tokens_udf(text))
+    return F.when(lang == "ja", japanese_tokens(text)).when(lang.isin("ko", "zh"), cjk_tokens(text)).otherwise(latin_tokens(text))
 
 
 def bigram_set(text: Column) -> Column:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Sequence
-from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.text import let, nfkc
+
 EPS = 1e-12
 #: Character ranges of writing systems.
 SCRIPTS = {"latin": "A-Za-zÀ-ɏḀ-ỿ", "cyrillic": "Ѐ-ӿ", "han": "㐀-䶿一-鿿", "kana": "぀-ヿ", "hangul": "가-힯", "thai": "฀-๿", "arabic": "؀-ۿ"}
@@ -54,93 +55,114 @@ def locate_quotes(quotes: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return quotes.select("quote_id").join(first, "quote_id", "left")
 
 
-def _clusters(text: str) -> tuple[str, list[tuple[int, int]]]:
-    """Compatibility form without spaces, quotes, dashes, tildes and dots unified, with each character's source interval."""
-    out: list[tuple[str, int, int]] = []
-    groups: list[list] = []
-    for i, ch in enumerate(text):
-        joins = bool(groups) and (unicodedata.combining(unicodedata.normalize("NFKD", ch)[0]) or unicodedata.normalize("NFKC", groups[-1][0] + ch) != unicodedata.normalize("NFKC", groups[-1][0]) + unicodedata.normalize("NFKC", ch))
-        if joins:
-            groups[-1][0] += ch
-            groups[-1][2] = i + 1
-        else:
-            groups.append([ch, i, i + 1])
-    for chars, a, b in groups:
-        for ch in unicodedata.normalize("NFKC", chars):
-            if not ch.isspace():
-                out.append(('"' if ch in "\"'“”„‟‘’‚‛«»「」『』" else "-" if ch in "-‐‑‒–—―−" else "~" if ch in "〜～~" else ch, a, b))
-    text = "".join(c for c, _, _ in out)
-    merged, at = [], 0
-    for m in re.finditer(r"\.{2,3}", text):
-        merged += out[at : m.start()]
-        merged.append(("…", out[m.start()][1], out[m.end() - 1][2]))
-        at = m.end()
-    merged += out[at:]
-    return "".join(c for c, _, _ in merged), [(a, b) for _, a, b in merged]
+#: Characters that stand for one another in quotes.
+ALIKE = {"\"": "\"'“”„‟‘’‚‛«»「」『』", "-": "-‐‑‒–—―−", "~": "~〜～"}
+_UNIFIED = {ord(c): k for k, every in ALIKE.items() for c in every}
+_UNIT = re.compile(r"\.{2,3}|\S")
+
+
+class Folded:
+    """A text as comparable units, one character each, with the source character that each unit begins and ends in.
+
+    Every source character is decomposed by itself (NFKD), so that positions stay known; a unit is what is not blank,
+    a run of two or three dots being one. Marks that follow a character are put in the order of their classes.
+    """
+
+    def __init__(self, text: str):
+        parts = [unicodedata.normalize("NFKD", c.translate(_UNIFIED)).translate(_UNIFIED) for c in text]
+        owner = [i for i, p in enumerate(parts) for _ in p]
+        units = [("…" if len(m[0]) > 1 else m[0], owner[m.start()], owner[m.end() - 1]) for m in _UNIT.finditer("".join(parts))]
+        rank = [unicodedata.combining(u) for u, _, _ in units]
+        base = 0
+        for i, r in enumerate(rank):
+            base = i if r == 0 else base
+            rank[i] = (base, r)
+        order = sorted(range(len(units)), key=lambda i: rank[i])
+        self.units = "".join(units[i][0] for i in order)
+        self.first, self.last = [units[i][1] for i in order], [units[i][2] for i in order]
+        self.mark = [r > 0 for _, r in rank]
+
+    def whole(self, a: int, b: int) -> bool:
+        """Whether units a to b begin and end where source characters and their marks do."""
+        starts = not self.mark[a] and (a == 0 or self.last[a - 1] < self.first[a])
+        return starts and (b == len(self.units) or not self.mark[b] and self.last[b - 1] < self.first[b])
 
 
 @F.pandas_udf(T.StructType([T.StructField("outcome", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 def resolve_quote(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
     """EXACT, RESOLVED_NORMALIZED, UNRESOLVED_MULTIPLE or UNRESOLVED_NO_MATCH, and the span in the text where there is one."""
-    rows = []
-    for t, q in zip(text, quote, strict=True):
-        if not t or not q:
-            rows.append(("UNRESOLVED_NO_MATCH", None, None))
-        elif q in t:
-            rows.append(("EXACT", t.index(q), t.index(q) + len(q)))
-        else:
-            (flat, index), (needle, _) = _clusters(t), _clusters(q)
-            found = {(index[m][0], index[m + len(needle) - 1][1]) for m in range(len(flat) - len(needle) + 1) if needle and flat.startswith(needle, m)}
-            found = {s for s in found if _clusters(t[s[0] : s[1]])[0] == needle}
-            rows.append(("UNRESOLVED_NO_MATCH", None, None) if not found else ("UNRESOLVED_MULTIPLE", None, None) if len(found) > 1 else ("RESOLVED_NORMALIZED", *found.pop()))
-    return pd.DataFrame(rows, columns=["outcome", "start", "end"]).astype({"start": "Int32", "end": "Int32"})
-
-
-def facets(question: str, function_words: Sequence[str] = (), most: int = 8, least: int = 2) -> list[str]:
-    """The question, then its sentences, clauses, listed items and range ends that hold enough content words, once each."""
-    tidy = lambda x: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", x)).strip()
-    whole = tidy(question)
-    if not whole:
-        raise ValueError("an empty question")
-
-    def ends(item: str) -> list[str]:
-        m = re.match(r"(.*?)\bfrom\s+(.+?)\s+to\s+(.+)$", item, re.I) or re.match(r"(.*?)\bbetween\s+(.+?)\s+and\s+(.+)$", item, re.I)
-        return [f"{m[1].strip()} {x.strip()}".strip() for x in (m[2], m[3])] if m else [item]
-
-    sentences = [s.strip() for s in re.split(r"(?<=[.?!])\s+", whole) if s.strip()]
-    bare = [s.split(":", 1)[-1].strip() for s in sentences]
-    items = [x.strip() for s in bare for x in re.split("[,;]", s) if x.strip()]
-    out, seen = [whole], {whole.strip(" .?!,;:").casefold()}
-    for c in (sentences if len(sentences) > 1 else []) + bare + items + [e for i in items for e in ends(i)]:
-        facet = tidy(c).strip(" .?!,;:")
-        content = [w for w in re.findall(r"[^\W_]+(?:'[^\W_]+)?", facet.casefold()) if w not in function_words and not w.isdigit()]
-        if len(out) < most and len(content) >= least and facet.casefold() not in seen:
-            seen.add(facet.casefold())
-            out.append(facet)
-    return out
-
-
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def facets_udf(question: pd.Series) -> pd.Series:
-    return question.map(facets)
+
+    def spans(t: str, q: str) -> set[tuple[int, int]]:
+        hay, needle = Folded(t), Folded(q).units
+        ends = ((m.start(), m.start() + len(needle)) for m in re.finditer(f"(?={re.escape(needle)})", hay.units)) if needle else ()
+        return {(hay.first[a], hay.last[b - 1] + 1) for a, b in ends if hay.whole(a, b)}
+
+    def outcome(t: str | None, q: str | None) -> tuple:
+        if t and q and (at := t.find(q)) >= 0:
+            return "EXACT", at, at + len(q)
+        found = spans(t, q) if t and q else set()
+        if len(found) == 1:
+            return "RESOLVED_NORMALIZED", *found.pop()
+        return "UNRESOLVED_MULTIPLE" if found else "UNRESOLVED_NO_MATCH", None, None
+
+    return pd.DataFrame(map(outcome, text, quote), columns=["outcome", "start", "end"]).astype({"start": "Int32", "end": "Int32"})
+
+
+def facets(question: Column, function_words: Sequence[str] = (), most: int = 8, least: int = 2) -> Column:
+    """The question, then its sentences, clauses, listed items and range ends that hold enough content words, once each.
+
+    An empty question is an error.
+    """
+    edge, none = F.lit(" .?!,;:"), F.array().cast("array<string>")
+    ranges = (r"(?i)^(.*?)\bfrom\s+(.+?)\s+to\s+(.+)$", r"(?i)^(.*?)\bbetween\s+(.+?)\s+and\s+(.+)$")
+
+    def some(items: Column) -> Column:
+        return F.filter(F.transform(items, F.trim), lambda x: x != "")
+
+    def ends(item: Column) -> Column:
+        out = F.array(item)
+        for p in reversed(ranges):
+            lead, low, high = (F.trim(F.regexp_extract(item, p, i)) for i in (1, 2, 3))
+            out = F.when(item.rlike(p), F.array(*(F.trim(F.concat_ws(" ", lead, x)) for x in (low, high)))).otherwise(out)
+        return out
+
+    def telling(x: Column) -> Column:
+        words = F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}]+(?:'[\p{L}\p{N}]+)?"), 0)
+        return F.size(F.filter(words, lambda w: ~w.isin(*function_words) & ~w.rlike(r"^\p{Nd}+$"))) >= least
+
+    def parts(whole: Column) -> Column:
+        sentences = some(F.split(whole, r"(?<=[.?!]) "))
+        bare = F.transform(sentences, lambda x: F.trim(F.regexp_replace(x, "^[^:]*:", "")))
+        items = some(F.flatten(F.transform(bare, lambda x: F.split(x, "[,;]"))))
+        found = F.concat(F.when(F.size(sentences) > 1, sentences).otherwise(none), bare, items, F.flatten(F.transform(items, ends)))
+        found = F.filter(F.transform(found, lambda x: F.btrim(x, edge)), telling)
+        same = lambda x, y: F.lower(F.btrim(x, edge)) == F.lower(F.btrim(y, edge))
+        fresh = F.aggregate(F.concat(F.array(whole), found), none, lambda out, x: F.when(F.exists(out, lambda y: same(x, y)), out).otherwise(F.concat(out, F.array(x))))
+        return F.when(whole == "", F.raise_error(F.lit("an empty question")).cast("array<string>")).otherwise(F.slice(fresh, 1, most))
+
+    return let(F.trim(F.regexp_replace(nfkc(question), r"(?U)\s+", " ")), parts)
 
 
 # ------------------------------------------------------------ evidence and fixtures
 
-def minimal_hitting_sets(families: Sequence[Sequence], most: int = 16) -> list[list]:
-    """All inclusion-minimal sets that meet every family, by size and then in order; none if a family is empty."""
-    sets = [frozenset(f) for f in families]
-    if not sets or not all(sets):
-        return []
-    universe = sorted(frozenset().union(*sets))
-    if len(universe) > most:
-        raise ValueError("too many members to enumerate")
-    found: list[frozenset] = []
-    for n in range(1, len(universe) + 1):
-        for c in map(frozenset, combinations(universe, n)):
-            if not any(f <= c for f in found) and all(c & s for s in sets):
-                found.append(c)
-    return [sorted(f) for f in found]
+def minimal_hitting_sets(families: Sequence[Sequence]) -> list[list]:
+    """All inclusion-minimal sets that meet every family, by size and then in order; none if a family is empty.
+
+    Sets are bit masks. Family by family, every set so far that misses it is multiplied out by the family's members,
+    and of the results only the minimal ones go on; nothing is enumerated beyond them.
+    """
+    names = sorted({x for f in families for x in f})
+    bit = {x: 1 << i for i, x in enumerate(names)}
+    partial = {0} if families else set()
+    for family in families:
+        own = [bit[x] for x in set(family)]
+        grown = {s | b for s in partial for b in ([0] if any(s & m for m in own) else own)}
+        least: list[int] = []
+        for s in sorted(grown, key=int.bit_count):
+            if all(s & t != t for t in least):
+                least.append(s)
+        partial = set(least)
+    return sorted(([x for x in names if bit[x] & s] for s in partial), key=lambda x: (len(x), x))
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))

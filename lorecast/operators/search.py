@@ -9,12 +9,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import cjk_tokens_udf, japanese_tokens_udf, latin_tokens_udf, word_tokens
+from ..functions.text import cjk_tokens, japanese_tokens, latin_tokens, word_tokens
 from . import retrieval as rt
 
-#: Names that some file systems reserve.
-RESERVED = {"CON", "PRN", "AUX", "NUL", *(f"COM{i}" for i in range(10)), *(f"LPT{i}" for i in range(10))}
-TOKENIZERS: dict[str, Callable] = {"words": word_tokens, "japanese": japanese_tokens_udf, "cjk": cjk_tokens_udf, "latin": latin_tokens_udf}
+#: Device names that some file systems reserve, as a pattern.
+RESERVED = r"con|prn|aux|nul|com\d|lpt\d"
+#: One path component: word characters and hyphens with single dots between them, not led by a hyphen, dot or device name.
+STORY = re.compile(rf"(?!(?:{RESERVED})(?:\.|$))(?![.-])(?:\.?[\w-]+)+", re.I | re.A)
+TOKENIZERS: dict[str, Callable] = {"words": word_tokens, "japanese": japanese_tokens, "cjk": cjk_tokens, "latin": latin_tokens}
 
 
 @dataclass(frozen=True)
@@ -26,13 +28,19 @@ class Request:
     start: int = 1
     end: int | None = None
 
+    def problems(self) -> list[str]:
+        end = self.cutoff if self.end is None else self.end
+        faults = {
+            "the story is not one plain path component": STORY.fullmatch(self.story) is None,
+            "the query is empty": not self.query or self.query.isspace(),
+            "k is below 1": self.k < 1,
+            "the window is not within 1 and the cutoff": not (0 < self.start <= end <= self.cutoff),
+        }
+        return [what for what, wrong in faults.items() if wrong]
+
     def checked(self) -> Request:
-        if not re.fullmatch(r"[A-Za-z0-9_][A-Za-z0-9_.-]*", self.story) or self.story.endswith(".") or ".." in self.story or self.story.split(".")[0].upper() in RESERVED:
-            raise ValueError("a story is one plain path component")
-        if not self.query.strip():
-            raise ValueError("the query is empty")
-        if self.k < 1 or not 1 <= self.start <= (self.end or self.cutoff) <= self.cutoff:
-            raise ValueError("needs k >= 1 and 1 <= start <= end <= cutoff")
+        if found := self.problems():
+            raise ValueError("; ".join(found))
         return self
 
 

@@ -94,7 +94,7 @@ def corpus_statistics(spark, t):
 def bm25_latin_bigrams(spark, t):
     """BM25 over words and word pairs, of all passages."""
     p = passages(t).withColumn("tokens", tx.tokens_by_language(F.col("text"), F.col("lang")))
-    q = t("benchmark").select(F.col("item_id").alias("query"), tx.latin_tokens_udf("text").alias("tokens"))
+    q = t("benchmark").select(F.col("item_id").alias("query"), tx.latin_tokens(F.col("text")).alias("tokens"))
     return rt.ranked(rt.bm25_scores(p, q), "id", k=TOP)
 
 

@@ -17,12 +17,18 @@ from lorecast.sources import tables as src
 from lorecast.streaming import stateful as st
 
 
-def test_tokenizers():
-    assert tx.japanese_tokens("猫がABC 犬") == ["猫", "が", "猫が", "abc", "犬"]
-    assert tx.japanese_tokens("ﾈｺ、Ｘ1") == ["ネ", "コ", "ネコ", "x1"]
-    assert tx.cjk_tokens("東京 tower 京") == ["東京", "tower", "京", "東京"]
-    assert tx.latin_tokens("Hàng xóm, Straße") == ["hàng", "xóm", "strasse", "hàng_xóm", "xóm_strasse"]
-    assert tx.japanese_tokens("") == tx.cjk_tokens(None) == []
+def test_tokenizers(spark):
+    def tokens(tokenizer, text):
+        return spark.createDataFrame([(text,)], "t string").select(tokenizer(F.col("t"))).first()[0]
+
+    assert tokens(tx.japanese_tokens, "猫がABC 犬") == ["猫", "が", "猫が", "abc", "犬"]
+    assert tokens(tx.japanese_tokens, "ﾈｺ、Ｘ1") == ["ネ", "コ", "ネコ", "x1"]
+    assert tokens(tx.japanese_tokens, "a_b猫犬鳥") == ["a", "b", "猫", "犬", "猫犬", "鳥", "犬鳥"]
+    assert tokens(tx.cjk_tokens, "東京 tower 京") == ["東京", "tower", "京", "東京"]
+    assert tokens(tx.cjk_tokens, "가나다 x東") == ["가나다", "x東", "가나", "나다", "東"]
+    assert tokens(tx.latin_tokens, "Hàng xóm, Straße") == ["hàng", "xóm", "strasse", "hàng_xóm", "xóm_strasse"]
+    assert tokens(tx.latin_tokens, "one") == ["one"]
+    assert tokens(tx.japanese_tokens, "") == tokens(tx.cjk_tokens, None) == tokens(tx.latin_tokens, " ") == []
 
 
 def test_bm25_ignores_query_repeats_and_drops_zero(spark):

@@ -21,24 +21,31 @@ def test_text_rules(spark):
 
 
 def test_quote_resolution(spark):
-    cases = [("He said “go”... now", 'said "go"…', "RESOLVED_NORMALIZED"), ("abc", "b", "EXACT"), ("ＡＢ AB", "A B", "UNRESOLVED_MULTIPLE"), ("abc", "x", "UNRESOLVED_NO_MATCH"), (None, "x", "UNRESOLVED_NO_MATCH")]
+    cases = [("He said “go”... now", 'said "go"…', "RESOLVED_NORMALIZED"), ("cafe\u0301 au lait", "café  au", "RESOLVED_NORMALIZED"), ("cafe\u0301", "cafe x", "UNRESOLVED_NO_MATCH"), ("a cafe\u0301s", "CAFE", "UNRESOLVED_NO_MATCH"), ("ｶﾞｷﾞ", "ギ", "RESOLVED_NORMALIZED"), ("ｶﾞ", "カ", "UNRESOLVED_NO_MATCH"), ("각 나", "가나", "UNRESOLVED_NO_MATCH"), ("ﬁne", "fi ne", "RESOLVED_NORMALIZED"), ("ﬁne", "i ne", "UNRESOLVED_NO_MATCH"), ("abc", "b", "EXACT"), ("ＡＢ AB", "A B", "UNRESOLVED_MULTIPLE"), ("abc", "x", "UNRESOLVED_NO_MATCH"), (None, "x", "UNRESOLVED_NO_MATCH")]
     df = spark.createDataFrame([c[:2] for c in cases], "t string, q string")
     got = [r[0] for r in df.select(ru.resolve_quote("t", "q")).collect()]
     assert [g["outcome"] for g in got] == [c[2] for c in cases]
     assert cases[0][0][got[0]["start"] : got[0]["end"]] == "said “go”..."
 
 
-def test_facets():
-    got = ru.facets("Explain: how Ann met Bob, why Cid left town. What changed from early spring to late autumn?")
-    assert got[0].startswith("Explain") and "how Ann met Bob" in got and "why Cid left town" in got and "What changed late autumn" in got
-    assert len(ru.facets(", ".join(f"word{i} more{i}" for i in range(20)))) == 8
-    with pytest.raises(ValueError):
-        ru.facets("  ")
+def test_facets(spark):
+    def facets(question, **options):
+        return spark.createDataFrame([(question,)], "q string").select(ru.facets(F.col("q"), **options)).first()[0]
+
+    got = facets("Explain: how Ann met Bob, why Cid left town. What changed from early spring to late autumn?")
+    assert got == ["Explain: how Ann met Bob, why Cid left town. What changed from early spring to late autumn?", "Explain: how Ann met Bob, why Cid left town", "What changed from early spring to late autumn", "how Ann met Bob, why Cid left town", "how Ann met Bob", "why Cid left town", "What changed early spring", "What changed late autumn"]
+    assert len(facets(", ".join(f"word{i} more{i}" for i in range(20)))) == 8
+    assert facets("What  did Ann see,\tor 12?") == ["What did Ann see, or 12?", "What did Ann see"]
+    assert facets("Where is the inn, who runs it", function_words=("is", "the", "it"), most=3) == ["Where is the inn, who runs it", "Where is the inn", "who runs it"]
+    with pytest.raises(Exception, match="empty question"):
+        facets("  ")
 
 
 def test_hitting_sets(spark):
     assert ru.minimal_hitting_sets([["a", "b"], ["b", "c"]]) == [["b"], ["a", "c"]]
-    assert ru.minimal_hitting_sets([["a"], []]) == []
+    assert ru.minimal_hitting_sets([["a"], []]) == ru.minimal_hitting_sets([]) == []
+    assert ru.minimal_hitting_sets([["a", "b"], ["a", "b"], ["a", "c"], ["d"]]) == [["a", "d"], ["b", "c", "d"]]
+    assert len(ru.minimal_hitting_sets([[f"x{i}", f"y{i}"] for i in range(9)])) == 512
     gold = spark.createDataFrame([(1, 0, ["b"]), (1, 1, ["a"]), (1, 2, ["a", "b"])], "probe int, set_index int, ids array<string>")
     support = spark.createDataFrame([(1, 1, ["a", "b"]), (1, 2, ["b", "c"])], "probe int, proposition int, ids array<string>")
     assert rows(ru.gold_coverage(gold, support)) == [(1, 1, "MISSES_PROPOSITION"), (1, 2, "NOT_MINIMAL")]
@@ -99,6 +106,8 @@ def test_requests(spark):
     p = spark.createDataFrame([("s", 1, 1, "red fox"), ("s", 2, 2, "red red"), ("s", 9, 3, "red"), ("t", 1, 4, "red")], "story string, chapter int, id int, text string")
     assert [r["id"] for r in retrieve(p, Request("s", "red", 5)).orderBy("rank").collect()] == [2, 1]
     assert [r["id"] for r in retrieve(p, Request("s", "red", 5, start=2)).collect()] == [2]
-    for bad in (Request("../s", "x", 1), Request("con.x", "x", 1), Request("s", " ", 1), Request("s", "x", 1, k=0), Request("s", "x", 1, start=2)):
+    for bad in (Request("../s", "x", 1), Request("con.x", "x", 1), Request("s", " ", 1), Request("s", "x", 1, k=0), Request("s", "x", 1, start=2), Request("-s", "x", 1), Request("a..b", "x", 1), Request("a.", "x", 1), Request(".a", "x", 1), Request("LPT1", "x", 1), Request("", "x", 1), Request("s", "x", 4, start=3, end=2)):
         with pytest.raises(ValueError):
             retrieve(p, bad)
+    for story in ("a", "_a.b-c", "a.con", "com", "console", "9"):
+        assert Request(story, "x", 1).problems() == []
