@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval, then word subsequences and answers.
 
-Documents are cut into blocks of BLOCK words; windows of one, two, four ... blocks are the passages. The terms are all
+Documents are cut into blocks of BLOCK words; windows of two, three, five ... blocks are the passages. The terms are all
 words of the benchmark: other words add nothing to a product with a benchmark passage. A randomised SVD of the TF-IDF
-passages (corpus and benchmark) gives a latent space; passages near a benchmark item in it are candidates; a candidate
-is a leak if enough of the item's words stand in it in order.
+blocks (corpus and benchmark) gives a latent space; passages near a benchmark item in it are candidates; a candidate is
+a leak if enough of the item's words stand in it in order.
 """
 
 from __future__ import annotations
@@ -17,14 +17,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import materialize, ship
+from .shared import drop_path, new_path, ship
 from .textkit import Words, chunks, text_bytes
 from .toxicity import PUNCTUATION
 
 BLOCK = 16
-#: Items are searched in slices of about so many words, each with a latent space of its own: what a task holds of them.
-SLICE_WORDS = 100_000
+#: Items are searched in slices of at most so many items and terms (one item may have more), each with a latent space
+#: of its own. A task holds a square table of a slice's terms.
+SLICE_ITEMS, SLICE_TERMS = 224, 4096
+#: How much more the items count in the decomposition than the whole corpus: their directions must not be lost.
+ITEMS_WEIGHT = 10.0
 TERMS_IN_BLOB = 512
+#: Windows that are compared at a time.
+WINDOWS = 4096
 
 
 def fold(data: np.ndarray) -> np.ndarray:
@@ -59,16 +64,16 @@ class Items:
 
 
 def slices(benchmark: DataFrame) -> Iterator[Items]:
-    """The items in order, as many together as have SLICE_WORDS words; an item that has more stands alone."""
-    ids, texts, held = [], [], 0
+    """The items in order, as many together as SLICE_ITEMS and SLICE_TERMS allow."""
+    ids, texts, terms = [], [], set()
     for i, t in benchmark.orderBy(*benchmark.columns).toLocalIterator():
-        n = (t or "").count(" ") + 1
-        if ids and held + n > SLICE_WORDS:
+        own = set(_hashes(t or "").tolist())
+        if ids and (len(ids) >= SLICE_ITEMS or len(terms | own) > SLICE_TERMS):
             yield Items(ids, texts)
-            ids, texts, held = [], [], 0
+            ids, texts, terms = [], [], set()
         ids.append(i)
         texts.append(t)
-        held += n
+        terms |= own
     if ids:
         yield Items(ids, texts)
 
@@ -157,15 +162,6 @@ def _sum_parts(df: DataFrame, shape: tuple) -> np.ndarray:
     return out
 
 
-def _latent_blocks(blocks: Blocks, weighted: np.ndarray) -> np.ndarray:
-    """Sum of the weighted rows of each block's terms (TF-IDF is linear, so windows are sums of blocks)."""
-    out = np.zeros((blocks.n, weighted.shape[1]), np.float32)
-    if len(blocks.term):
-        cut = np.flatnonzero(np.diff(blocks.block, prepend=-1))
-        out[blocks.block[cut]] = np.add.reduceat(weighted[blocks.term], cut, axis=0)
-    return out
-
-
 def _document_frequencies(matrix: DataFrame, v: int) -> np.ndarray:
     """In how many blocks each term is, and at the end the number of blocks."""
 
@@ -182,50 +178,70 @@ def _document_frequencies(matrix: DataFrame, v: int) -> np.ndarray:
 
 
 def _gram_times(matrix: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A' (A R) for the corpus part A of the TF-IDF matrix; tasks add it up over their blocks."""
-    weighted, shape = (right * idf[:, None]).astype(np.float32), right.shape
+    """A' (A R) for the corpus part A of the TF-IDF matrix.
+
+    Each task counts how often two terms share a block, which is its part of A'A but for the weights, and multiplies
+    that table by R once; only the product, terms by rank, leaves the task.
+    """
+    v, weighted = len(idf), (right * idf[:, None]).astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(shape)
+        table, held, size = np.zeros(v * v, np.float32), [], 0
+
+        def count() -> None:
+            nonlocal held, size
+            if held:
+                table[:] += np.bincount(np.concatenate(held), minlength=v * v)
+            held, size = [], 0
+
         for batch in batches:
             for _, starts, terms in _rows_of(batch):
-                if len(terms):
-                    rows = np.add.reduceat(weighted[terms], starts, axis=0)
-                    block = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(terms))))
-                    order = np.argsort(terms, kind="stable")
-                    cut = np.flatnonzero(np.diff(terms[order], prepend=-1))
-                    total[terms[order][cut]] += np.add.reduceat(rows[block[order]], cut, axis=0)
-        yield _in_parts(total * idf[:, None])
-
-    return _sum_parts(matrix.mapInArrow(run, "part long, sums binary"), shape)
+                block = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(terms))))
+                held.append(terms * (v + 1))
+                for k in range(1, BLOCK):
+                    near = block[k:] == block[:-k]
+                    if not near.any():
+                        break
+                    x, y = terms[k:][near], terms[:-k][near]
+                    held += [x * v + y, y * v + x]
+                size += len(terms) * BLOCK
+                if size > 4_000_000:
+                    count()
+        count()
+        yield _in_parts((table.reshape(v, v) @ weighted) * idf[:, None])
+
+    return _sum_parts(matrix.mapInArrow(run, "part long, sums binary"), right.shape)
 
 
 def latent_space(texts: DataFrame, items: Items, rank: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Inverse document frequencies of the terms, right singular vectors (terms by rank) and singular values.
 
-    A randomised SVD: with A the TF-IDF rows of all corpus blocks and items (the items' scaled up so that both parts
-    weigh alike), a range finder Q = qr(A'A G) for a seeded Gaussian G; a power step Z = A'A Q; and from both the
-    rank-r decomposition Z (Q'Z)^-1 Z' of A'A by a Cholesky factor and a small SVD. The two passes over the corpus read
-    its blocks' term numbers, which are written once.
+    A randomised SVD: with A the TF-IDF rows of all corpus blocks and items (the two parts scaled to equal mass, then
+    the items by ITEMS_WEIGHT), a range finder Q = qr(A'A G) for a seeded Gaussian G; a power step Z = A'A Q; and from
+    both the rank-r decomposition Z (Q'Z)^-1 Z' of A'A by a Cholesky factor and a small SVD. The two passes over the
+    corpus read its blocks' term numbers, which are written once.
     """
-    v = len(items.vocabulary)
-    matrix = materialize(texts.mapInArrow(_block_terms(items), "n long, counts binary, terms binary"), "benchmark-terms")
+    v, spark = len(items.vocabulary), texts.sparkSession
+    rank = min(rank, v)
+    path = new_path(spark, "benchmark-terms")
+    schema = "n long, counts binary, terms binary"
+    texts.mapInArrow(_block_terms(items), schema).write.parquet(path)
+    matrix = spark.read.schema(schema).parquet(path)
     found = _document_frequencies(matrix, v)
     idf = np.log((found[v] + 1) / (found[:v] + 1)) + 0.1
-    rank = min(rank, v)
-    weights: list[float] = []
+    scales: list[float] = []
 
     def times(right: np.ndarray) -> np.ndarray:
-        rows = items.project(right * idf[:, None])
-        own = np.zeros(right.shape)
+        rows, own = items.project(right * idf[:, None]), np.zeros(right.shape)
         np.add.at(own, np.concatenate(items.terms), np.repeat(rows, [len(t) for t in items.terms], axis=0))
         parts = [_gram_times(matrix, idf, right).astype(np.float64), own * idf[:, None]]
-        if not weights:
-            weights.extend(1 / norm if (norm := np.linalg.norm(p)) > 0 else 0.0 for p in parts)
-        return parts[0] * weights[0] + parts[1] * weights[1]
+        if not scales:
+            scales.extend(weight / norm if (norm := np.linalg.norm(p)) > 0 else 0.0 for p, weight in zip(parts, (1.0, ITEMS_WEIGHT), strict=True))
+        return parts[0] * scales[0] + parts[1] * scales[1]
 
     q, _ = np.linalg.qr(times(np.random.default_rng(seed).normal(size=(v, rank))))
     z = times(q)
+    drop_path(spark, path)
     shift = 1e-7 * np.linalg.norm(z)
     z += shift * q
     core = q.T @ z
@@ -249,15 +265,15 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - row.bit_count()
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rank: int = 96, cosine: float = 0.35, share: float = 0.3, subsequence: float = 0.8, with_answer: float = 0.6, seed: int = 3) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", rank: int = 256, cosine: float = 0.35, share: float = 0.3, subsequence: float = 0.8, with_answer: float = 0.6, seed: int = 3) -> DataFrame:
     """One row per document and benchmark item that it leaks: id, item_id, cosine, lcs_ratio, answer_found, word_start.
 
-    A window of about an item's length is a candidate if its cosine with the item in the latent space reaches
-    `cosine` and it holds at least `share` of the item's weight there. It is a leak if the longest common subsequence
+    A window that is long enough to hold an item wherever it begins is a candidate if its cosine with the item in the
+    latent space reaches `cosine` and it holds at least `share` of the item's weight there. It is a leak if the longest common subsequence
     of words covers `subsequence` of the item, or `with_answer` of it and its answer is found: the item's last sentence
     (its last five words, where that is shorter than three), four fifths of whose words must follow each other
     in the window. word_start is the first word of the best window. Every window of every text, however long, is
-    compared with every item; items are a stated query set, searched in slices of SLICE_WORDS words.
+    compared with every item; items are a stated query set, searched in slices.
 
     Null and empty texts and items match nothing; rows and items with a null id can match and carry it. Repeated rows
     give a row each, and so do repeated items. Without benchmark items, or documents, the result is empty. Other
@@ -278,39 +294,56 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return out
 
 
+def _sum_by_block(rows: np.ndarray, term: np.ndarray, block: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the rows of each block's terms, after a row of zeros. Blocks are sorted; their first terms are added, then the second ones, and so on."""
+    out = np.zeros((n + 1, rows.shape[1]), rows.dtype)
+    first = np.flatnonzero(np.diff(block, prepend=-1))
+    place = np.arange(len(block)) - np.repeat(first, np.diff(np.append(first, len(block))))
+    order = np.argsort(place.astype(np.uint8), kind="stable")
+    for some in np.split(order, np.cumsum(np.bincount(place))[:-1]):
+        out[block[some] + 1] += rows[term[some]]
+    return out
+
+
 def searcher(items: Items, weighted: np.ndarray, cosine: float, share: float, subsequence: float, with_answer: float, item_type: pa.DataType):
     """A mapInArrow function from (id, text) to the leaks of some items."""
     queries = items.project(weighted).astype(np.float32)
     norms = np.linalg.norm(queries, axis=1)
-    scales = [(s, np.flatnonzero((items.scale == s) & (norms > 0))) for s in np.unique(items.scale).tolist()]
-    least = {s: max(1e-6, share * float(norms[which].min())) if len(which) else np.inf for s, which in scales}
-
-    def shifted(x: np.ndarray, by: int, last: np.ndarray) -> np.ndarray:
-        out = np.zeros_like(x)
-        ok = np.flatnonzero(np.arange(len(x)) + by < last)
-        out[ok] = x[ok + by]
-        return out
+    scales = [(s, which) for s in np.unique(items.scale).tolist() if len(which := np.flatnonzero((items.scale == s) & (norms > 0)))]
+    # what a term can add, at most, to the share of an item of each scale that a window holds
+    most = np.stack([np.maximum((weighted @ queries[which].T / norms[which] ** 2).max(axis=1), 0) for _, which in scales], axis=1) if scales else np.zeros((len(weighted), 0))
+    longest = max(((1 << s) + 1 for s, _ in scales), default=0)
 
     def handle(blocks: Blocks, lo: int) -> list[tuple]:
-        z = _latent_blocks(blocks, weighted)
         last = np.repeat(blocks.first[1:], blocks.per_text)
         best: dict = {}
-        for s, which in scales:
-            window, have = z, 1
-            while have < 1 << s:  # sums of 2^s blocks, never beyond the text's last
-                window, have = window + shifted(window, have, last), 2 * have
-            # an item that begins within a block may reach into one block more
-            for sums, n in ((window, have), (window + shifted(z, have, last), have + 1)):
-                long_ = np.linalg.norm(sums, axis=1)
-                live = np.flatnonzero(long_ >= least[s])  # a product is at most the product of the lengths
-                for a in range(0, len(live), 8192):
-                    part = live[a : a + 8192]
-                    dots = sums[part] @ queries[which].T
-                    near = (dots >= cosine * long_[part][:, None] * norms[which][None, :]) & (dots >= share * norms[which][None, :] ** 2)
-                    for r, c in zip(*np.nonzero(near), strict=True):
-                        verify(blocks, int(part[r]), n, int(which[c]), float(dots[r, c] / (long_[part[r]] * norms[which[c]])), best)
+        for a in range(0, blocks.n, WINDOWS):
+            b, c = min(blocks.n, a + WINDOWS), min(blocks.n, a + WINDOWS + longest)
+            terms = slice(*np.searchsorted(blocks.block, (a, c)))
+            compare(blocks, a, b, c, blocks.term[terms], blocks.block[terms] - a, np.minimum(last[a:b], c) - a, best)
         return [(lo + doc, items.ids[i], *v) for (doc, i), v in best.items()]
 
+    def compare(blocks: Blocks, a: int, b: int, c: int, term: np.ndarray, block: np.ndarray, last: np.ndarray, best: dict) -> None:
+        """The windows that begin in blocks a to b; sums over windows are differences of running sums up to block c."""
+        if not len(term):
+            return
+        held = np.cumsum(_sum_by_block(most, term, block, c - a), axis=0)
+        z = None
+        for k, (s, which) in enumerate(scales):
+            n = (1 << s) + 1
+            stop = np.minimum(np.arange(b - a) + n, last)
+            live = np.flatnonzero(held[stop, k] - held[: b - a, k] >= share)
+            if not len(live):
+                continue
+            if z is None:
+                z = np.cumsum(_sum_by_block(weighted, term, block, c - a), axis=0)
+            sums = z[stop[live]] - z[live]
+            long_ = np.linalg.norm(sums, axis=1)
+            dots = sums @ queries[which].T
+            near = (dots >= cosine * long_[:, None] * norms[which][None, :]) & (dots >= share * norms[which][None, :] ** 2)
+            for r, i in zip(*np.nonzero(near), strict=True):
+                verify(blocks, a + int(live[r]), n, int(which[i]), float(dots[r, i] / (long_[r] * norms[which[i]])), best)
+
     def verify(blocks: Blocks, block: int, n: int, item: int, cos: float, best: dict) -> None:
         doc = int(np.searchsorted(blocks.first, block, "right")) - 1
         w0, w1 = blocks.words.offsets[doc], blocks.words.offsets[doc + 1]
