@@ -67,7 +67,7 @@ def cjk_tokens(text: Column) -> Column:
     def spread(folded: Column) -> Column:
         words, runs = (F.regexp_extract_all(folded, F.lit(p), 0) for p in (WORDS, f"[{HAN}]+|[{HANGUL}]+"))
         alone = lambda r: F.when(F.array_contains(words, r), F.array().cast("array<string>")).otherwise(F.array(r))
-        return F.concat(words, F.flatten(F.transform(runs, lambda r: F.when(F.length(r) == 1, alone(r)).otherwise(_pairs(_characters(r), F.concat)))))
+        return F.concat(words, F.flatten(F.transform(runs, lambda r: F.when(F.length(r) == 1, alone(r)).otherwise(_pairs(_characters(r), lambda x, y: F.concat(x, y))))))
 
     return let(nfkc_folded(text), spread)
 

@@ -127,14 +127,15 @@ def first_commitments(statements: DataFrame) -> DataFrame:
 
 
 def merged_findings(findings: DataFrame) -> DataFrame:
-    """Findings in order, without those whose quote holds, or is held by, an earlier kept one of the same unit. findings: unit, seq, quote."""
+    """Findings in order, without those whose quote holds, or is held by, an earlier kept one of the same unit, whitespace aside. findings: unit, seq, quote."""
 
     def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         kept: list = []
         for r in rows.sort_values("seq").itertuples():
-            if not any(r.quote in k[2] or k[2] in r.quote for k in kept):
-                kept.append((key[0], r.seq, r.quote))
-        return pd.DataFrame(kept, columns=["unit", "seq", "quote"])
+            bare = "".join(r.quote.split())
+            if not any(bare in k or k in bare for *_, k in kept):
+                kept.append((key[0], r.seq, r.quote, bare))
+        return pd.DataFrame([k[:3] for k in kept], columns=["unit", "seq", "quote"])
 
     kinds = {f.name: f.dataType.simpleString() for f in findings.schema}
     return findings.groupBy("unit").applyInPandas(fold, f"unit {kinds['unit']}, seq {kinds['seq']}, quote string")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,9 +10,8 @@ from pyspark.sql import functions as F
 
 def _scratch(spark: SparkSession) -> str:
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not folder:  # only where the session names no shared folder, as in tests
-        folder = "file://" + tempfile.mkdtemp(prefix="lorecast-")
-        spark.sparkContext.setCheckpointDir(folder)
+    if not folder:
+        raise ValueError("iterations need a folder that all machines share: set spark.checkpoint.dir")
     return f"{folder.rstrip('/')}/lorecast/{uuid.uuid4().hex}"
 
 
@@ -24,8 +22,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(node, root): the smallest node that each reaches. Rounds of least neighbour and pointer jumping until nothing changes."""
+def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """(node, root): the smallest node that each reaches. Rounds of least neighbour and pointer jumping until nothing changes.
+
+    An error if something still changes after most_rounds.
+    """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     labels = stored(nodes.select("node", F.col("node").alias("root")).distinct())
     both = stored(both)
@@ -36,19 +37,21 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 50) -> Dat
         step = stored(pulled.join(jump, F.col("root") == F.col("j"), "left").select("node", "old", F.least("root", F.coalesce("of", "root")).alias("root")))
         labels = step.select("node", "root")
         if step.where("old <> root").limit(1).count() == 0:
-            break
-    return labels
+            return labels
+    raise RuntimeError("components did not settle")
 
 
-def availability(assertions: DataFrame, sets: DataFrame, premises: DataFrame, most_rounds: int = 100) -> DataFrame:
+def availability(assertions: DataFrame, sets: DataFrame, premises: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """(assertion, available): the least position at which each assertion's support is complete; null if it never is.
 
     assertions: assertion, rejected. sets: assertion, path, position (array of int), grounding, sufficient; a set is
     complete at its largest position if it is sufficient and all its evidence grounds. premises: assertion, path,
     premise; a derivation is complete at the largest availability of its premises, if all have one. An assertion is
     available at its earliest complete path; a rejected one never is. This is the least fixpoint, so support that
-    runs in a circle gives nothing. Each round is a join and two aggregations; lineage is cut by a stored table.
+    runs in a circle gives nothing. Each round is a join and two aggregations; lineage is cut by a stored table. Rounds
+    go on until nothing changes, at most one more than there are assertions (or most_rounds; an error beyond).
     """
+    most_rounds = assertions.count() + 1 if most_rounds is None else most_rounds
     live = assertions.where(~F.col("rejected")).select("assertion")
     direct = sets.groupBy("assertion", "path").agg(F.max("position").alias("p"), F.min(F.col("grounding") & F.col("sufficient")).alias("ok")).where("ok")
     direct = stored(direct.join(live, "assertion", "left_semi").groupBy("assertion").agg(F.min("p").alias("available")))
@@ -64,20 +67,34 @@ def availability(assertions: DataFrame, sets: DataFrame, premises: DataFrame, mo
         if sign == last:
             break
         last = sign
+    else:
+        raise RuntimeError("availability did not settle")
     return assertions.select("assertion").join(known, "assertion", "left")
 
 
-def circular(premises: DataFrame, most_depth: int = 50) -> DataFrame:
-    """Assertions that support themselves through derivations: reachability from each by repeated joins until nothing is new."""
-    step = stored(premises.select(F.col("assertion").alias("a"), F.col("premise").alias("b")).distinct())
-    reach = step
-    for _ in range(most_depth):
-        wider = stored(reach.unionByName(reach.alias("x").join(step.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")).distinct())
-        done = wider.count() == reach.count()
-        reach = wider
-        if done:
+def circular(premises: DataFrame, most_rounds: int | None = None) -> DataFrame:
+    """Assertions that support themselves through derivations.
+
+    Whatever is on a circle has a premise and is a premise of others on it; so assertions without a premise left, or
+    that nothing left builds on, go round by round. What remains are the circles and the paths between them; there the
+    reach of each is doubled until nothing is new. An error if that takes more than most_rounds (the number of edges).
+    """
+    reach = stored(premises.select(F.col("assertion").alias("a"), F.col("premise").alias("b")).distinct())
+    left = reach.count()
+    rounds = left + 1 if most_rounds is None else most_rounds
+    for _ in range(rounds):
+        builds, built = reach.select(F.col("a").alias("n")).distinct(), reach.select(F.col("b").alias("n")).distinct()
+        reach = stored(reach.join(builds, F.col("b") == F.col("n"), "left_semi").join(built, F.col("a") == F.col("n"), "left_semi"))
+        before, left = left, reach.count()
+        if left == before:
             break
-    return reach.where("a = b").select(F.col("a").alias("assertion")).distinct()
+    for _ in range(rounds):
+        further = reach.alias("x").join(reach.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")
+        reach = stored(reach.unionByName(further).distinct())
+        before, left = left, reach.count()
+        if left == before:
+            return reach.where("a = b").select(F.col("a").alias("assertion")).distinct()
+    raise RuntimeError("circles did not settle")
 
 
 def visible(assertions: DataFrame, position: Column) -> DataFrame:
@@ -116,19 +133,41 @@ def functional_conflicts(values: DataFrame) -> DataFrame:
     return pairs.where(~disjoint).select(F.col("x.key").alias("key"), F.col("x.assertion").alias("first"), F.col("y.assertion").alias("second"))
 
 
+def _bin_width(spans: DataFrame, start: str, end: str) -> float:
+    mean = spans.where(F.col(start) <= F.col(end)).agg(F.avg(F.col(end) - F.col(start))).first()[0]
+    return max(1.0, float(mean or 0))
+
+
+def _bins(start: str, end: str, width: float) -> Column:
+    return F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width)))
+
+
 def span_matches(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     """Containment join in one segment: predicted spans that hold a gold span (exactly it, where the segment is narrow).
 
-    predicted: p_id, segment, p_start, p_end; gold: g_id, segment, g_start, g_end, narrow.
+    predicted: p_id, segment, p_start, p_end; gold: g_id, segment, g_start, g_end, narrow. A segment is cut into bins of
+    about a predicted span's mean length; a gold span meets, in the bin it starts in, the predicted spans that reach
+    into that bin. Spans that end before they start, or lack an offset, match nothing.
     """
+    width = _bin_width(predicted, "p_start", "p_end")
+    predicted = predicted.where("p_start <= p_end").withColumn("bin", _bins("p_start", "p_end", width))
+    gold = gold.where("g_start <= g_end").withColumn("bin", F.floor(F.col("g_start") / width))
     inside = (F.col("p_start") <= F.col("g_start")) & (F.col("g_end") <= F.col("p_end"))
     exact = (F.col("p_start") == F.col("g_start")) & (F.col("g_end") == F.col("p_end"))
-    return predicted.join(gold, "segment").where(F.when(F.col("narrow"), exact).otherwise(inside)).select("p_id", "g_id", "segment")
+    return predicted.join(gold, ["segment", "bin"]).where(F.when(F.col("narrow"), exact).otherwise(inside)).select("p_id", "g_id", "segment")
 
 
 def span_overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Half-open overlap join in one segment; null offsets never match. left: l_id, segment, l_start, l_end; right likewise."""
-    return left.join(right, "segment").where((F.col("l_start") < F.col("r_end")) & (F.col("r_start") < F.col("l_end"))).select("l_id", "r_id", "segment")
+    """Half-open overlap join in one segment; null offsets never match. left: l_id, segment, l_start, l_end; right likewise.
+
+    Both sides are dealt by the bins that they reach into; a pair counts in the bin where its overlap begins.
+    """
+    width = _bin_width(left, "l_start", "l_end")
+    left = left.where("l_start <= l_end").withColumn("bin", _bins("l_start", "l_end", width))
+    right = right.where("r_start <= r_end").withColumn("bin", _bins("r_start", "r_end", width))
+    overlap = (F.col("l_start") < F.col("r_end")) & (F.col("r_start") < F.col("l_end"))
+    here = F.col("bin") == F.floor(F.greatest("l_start", "r_start") / width)
+    return left.join(right, ["segment", "bin"]).where(overlap & here).select("l_id", "r_id", "segment")
 
 
 def dangling(children: DataFrame, child_key: str, parents: DataFrame, parent_key: str, rule: str) -> DataFrame:

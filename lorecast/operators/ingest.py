@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,8 +48,10 @@ def segment_id(story: Column, document: Column, version: Column, start: Column,
 
 
 def corpus_fingerprint(docs: DataFrame) -> DataFrame:
-    """(story, fingerprint): digest of the ordered `NNN:sha` lines of (story, order, text)."""
-    entry = F.struct("order", F.concat(F.lpad(F.col("order").cast("string"), 3, "0"), F.lit(":"), F.sha2("text", 256)).alias("v"))
+    """(story, fingerprint): digest of the ordered `NNN:sha` lines of (story, order, text); orders have three digits or more."""
+    number = F.col("order").cast("string")
+    padded = F.lpad(number, F.greatest(F.length(number), F.lit(3)), F.lit("0"))
+    entry = F.struct("order", F.concat(padded, F.lit(":"), F.sha2("text", 256)).alias("v"))
     return docs.groupBy("story").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["v"]), "\n"), 256).alias("fingerprint"))
 
 
@@ -58,32 +59,29 @@ def pack_paragraphs(spans: DataFrame, most: int = CHUNK_CHARACTERS) -> DataFrame
     """(doc, chunk, char_start, char_end, first_paragraph, last_paragraph, reason) from (doc, ordinal, char_start, char_end).
 
     Paragraphs are packed in order while a chunk, gaps between its paragraphs included, has at most `most` characters;
-    a longer paragraph is cut every `most` characters. A fold over one document's paragraphs.
+    a longer paragraph is cut every `most` characters. One fold over each document's array of paragraphs.
     """
-
-    def fold(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out, open_ = [], None
-        for p in rows.sort_values("ordinal").itertuples():
-            n, a, b = int(p.ordinal), int(p.char_start), int(p.char_end)
-            if b - a > most:
-                if open_:
-                    out.append(open_)
-                    open_ = None
-                out += [(x, min(x + most, b), n, n, "HARD_SPLIT") for x in range(a, b, most)]
-            elif open_ and b - open_[0] <= most:
-                open_ = (open_[0], b, open_[2], n, "PACK")
-            else:
-                if open_:
-                    out.append(open_)
-                open_ = (a, b, n, n, "PACK")
-        if open_:
-            out.append(open_)
-        frame = pd.DataFrame(out, columns=["char_start", "char_end", "first_paragraph", "last_paragraph", "reason"])
-        frame.insert(0, "chunk", range(1, len(out) + 1))
-        frame.insert(0, "doc", key[0])
-        return frame
-
-    return spans.groupBy("doc").applyInPandas(fold, f"doc {spans.schema['doc'].dataType.simpleString()}, chunk int, char_start long, char_end long, first_paragraph int, last_paragraph int, reason string")
+    one = "struct<char_start:bigint,char_end:bigint,first_paragraph:int,last_paragraph:int,reason:string>"
+    state = f"struct<done:array<{one}>,open:{one}>"
+
+    def chunk(start: Column, end: Column, first: Column, last: Column, reason: str) -> Column:
+        return F.struct(start.alias("char_start"), end.alias("char_end"), first.alias("first_paragraph"), last.alias("last_paragraph"), F.lit(reason).alias("reason")).cast(one)
+
+    def closed(s: Column) -> Column:
+        return F.when(s["open"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["open"])))
+
+    def step(s: Column, p: Column) -> Column:
+        start, end, n, open_ = p["char_start"], p["char_end"], p["ordinal"], s["open"]
+        pieces = F.transform(F.sequence(start, F.greatest(end - 1, start), F.lit(most).cast("long")), lambda x: chunk(x, F.least(x + most, end), n, n, "HARD_SPLIT"))
+        cut = F.struct(F.concat(closed(s), pieces).alias("done"), F.lit(None).cast(one).alias("open")).cast(state)
+        wider = F.struct(s["done"].alias("done"), chunk(open_["char_start"], end, open_["first_paragraph"], n, "PACK").alias("open")).cast(state)
+        fresh = F.struct(closed(s).alias("done"), chunk(start, end, n, n, "PACK").alias("open")).cast(state)
+        return F.when(end - start > most, cut).when(open_.isNotNull() & (end - open_["char_start"] <= most), wider).otherwise(fresh)
+
+    begin = F.struct(F.array().cast(f"array<{one}>").alias("done"), F.lit(None).cast(one).alias("open")).cast(state)
+    row = F.struct(F.col("ordinal").cast("int").alias("ordinal"), F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"))
+    folded = spans.groupBy("doc").agg(F.aggregate(F.array_sort(F.collect_list(row)), begin, step, closed).alias("chunks"))
+    return folded.select("doc", F.posexplode("chunks").alias("at", "c")).select("doc", (F.col("at") + 1).alias("chunk"), "c.*")
 
 
 def gap_violations(spans: DataFrame, texts: DataFrame) -> DataFrame:

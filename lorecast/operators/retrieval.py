@@ -13,9 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graph import stored
+
 DIGITS = 9
 #: Query tokens that may be broadcast; beyond that the join shuffles.
 BROADCAST_TOKENS = 1_000_000
+#: Query vectors that may be broadcast.
+BROADCAST_QUERIES = 10_000
 
 
 def ranked(scores: DataFrame, *ties: str | Column, k: int | None = None, partition: Sequence[str] = ("query",)) -> DataFrame:
@@ -31,20 +35,25 @@ def ranked(scores: DataFrame, *ties: str | Column, k: int | None = None, partiti
 def bm25_scores(passages: DataFrame, queries: DataFrame, allowed: Column | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query, id, score) for positive scores. passages: id, tokens and whatever `allowed` needs; queries: query, tokens.
 
-    Statistics cover all passages given; `allowed` only restricts which are scored. A query's repeated tokens count
-    once. Term counts are taken only for tokens that some query holds.
+    Statistics cover all passages given; `allowed` only restricts which are scored. Where queries have a column
+    `cutoff`, passages must have `position`, and a query scores those up to its own cutoff. A query's repeated tokens
+    count once. Term counts are taken only for tokens that some query holds; they are written once and read twice.
     """
+    as_of = "cutoff" in queries.columns
     stats = passages.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("tokens")).alias("mean_length"))
-    wanted = queries.select("query", F.explode(F.array_distinct("tokens")).alias("token"))
+    wanted = queries.select("query", *(["cutoff"] if as_of else []), F.explode(F.array_distinct("tokens")).alias("token"))
     vocabulary = wanted.select("token").distinct()
     if vocabulary.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS:
         vocabulary = F.broadcast(vocabulary)
     carried = passages.withColumn("ok", F.lit(True) if allowed is None else F.coalesce(allowed, F.lit(False)))
-    terms = carried.select("id", "ok", F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
-    terms = terms.join(vocabulary, "token", "left_semi").groupBy("id", "ok", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
+    at = ["position"] if as_of else []
+    terms = carried.select("id", "ok", *at, F.size("tokens").alias("length"), F.explode("tokens").alias("token"))
+    terms = stored(terms.join(vocabulary, "token", "left_semi").groupBy("id", "ok", *at, "length", "token").agg(F.count(F.lit(1)).alias("tf")))
     df = terms.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     weights = df.crossJoin(F.broadcast(stats)).select("token", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "mean_length")
     matched = terms.where("ok").join(weights, "token").join(wanted, "token")
+    if as_of:
+        matched = matched.where("position <= cutoff")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
     return matched.groupBy("query", "id").agg(F.round(F.sum(part), DIGITS).alias("score")).where(F.col("score") > 0)
 
@@ -64,12 +73,20 @@ def dot(a: Column, b: Column) -> Column:
 def cosine_scores(passages: DataFrame, queries: DataFrame, allowed: Column | None = None) -> DataFrame:
     """(query, id, score) of every allowed passage with every query. passages: id, vector; queries: query, vector.
 
-    The queries are a stated set: they are the broadcast side of a join without keys.
+    The queries are a stated set and meet every passage. They are broadcast up to BROADCAST_QUERIES; more are dealt in
+    blocks, and each block meets all passages by the block's number.
     """
     p = passages if allowed is None else passages.where(allowed)
     left = p.select("id", unit(F.col("vector")).alias("pv"))
-    right = F.broadcast(queries.select("query", unit(F.col("vector")).alias("qv")))
-    return left.crossJoin(right).select("query", "id", F.round(dot(F.col("pv"), F.col("qv")), DIGITS).alias("score"))
+    right = queries.select("query", unit(F.col("vector")).alias("qv"))
+    n = queries.count()
+    if n <= BROADCAST_QUERIES:
+        both = left.crossJoin(F.broadcast(right))
+    else:
+        blocks = -(-n // BROADCAST_QUERIES)
+        right = right.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+        both = left.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(right, "block")
+    return both.select("query", "id", F.round(dot(F.col("pv"), F.col("qv")), DIGITS).alias("score"))
 
 
 def window_max(window_scores: DataFrame, parents: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import let, nfkc
+from .graph import stored
 
 EPS = 1e-12
 #: Character ranges of writing systems.
@@ -260,18 +261,19 @@ def repeated_propositions(arguments: DataFrame) -> DataFrame:
     return per.groupBy("predicate", "args").agg(F.array_sort(F.collect_list("proposition")).alias("propositions")).where(F.size("propositions") > 1)
 
 
-def embedding_closure(edges: DataFrame, most_depth: int = 100) -> DataFrame:
-    """(a, b): all propositions b embedded, at any depth, in a. edges: a, b. Ends on circles too; an error beyond most_depth."""
-    step = edges.select("a", "b").distinct()
-    reach = step
-    for _ in range(most_depth):
-        wider = reach.unionByName(reach.alias("x").join(step.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")).distinct()
-        from .graph import stored
+def embedding_closure(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """(a, b): all propositions b embedded, at any depth, in a. edges: a, b. Ends on circles too.
 
-        wider = stored(wider)
-        if wider.count() == reach.count():
-            return wider
-        reach = wider
+    Each round joins the reach so far with itself, so that depth doubles; an error beyond most_rounds.
+    """
+    reach = stored(edges.select("a", "b").distinct())
+    size = reach.count()
+    for _ in range(most_rounds):
+        further = reach.alias("x").join(reach.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")
+        reach = stored(reach.unionByName(further).distinct())
+        before, size = size, reach.count()
+        if size == before:
+            return reach
     raise ValueError("propositions are embedded too deeply")
 
 

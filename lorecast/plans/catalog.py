@@ -37,44 +37,54 @@ def query(sql: str | None = None):
 
 # ---------------------------------------------------------------- retrieval
 
-P = "p AS (SELECT source AS story, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS chapter, doc_id AS id, text, lang FROM documents)"
+LAST = "(SELECT max(doc_id) FROM documents)"
 WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
-CUTOFF, TOP = 30, 10
-BM25 = f"""{P}, t AS (SELECT id, chapter, {WORDS.format('text')} AS tokens FROM p WHERE {{where}}),
+TOP = 10
+
+
+def bm25_sql(where: str, cutoff: str) -> str:
+    return f"""t AS (SELECT doc_id AS id, doc_id AS position, {WORDS.format('text')} AS tokens FROM documents WHERE {where}),
     s AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM t),
-    e AS (SELECT id, chapter, len(tokens) AS length, unnest(tokens) AS token FROM t),
-    f AS (SELECT id, chapter, length, token, count(*) AS tf FROM e GROUP BY ALL),
+    e AS (SELECT id, position, len(tokens) AS length, unnest(tokens) AS token FROM t),
+    f AS (SELECT id, position, length, token, count(*) AS tf FROM e GROUP BY ALL),
     d AS (SELECT token, count(*) AS df FROM f GROUP BY token),
-    q AS (SELECT DISTINCT item_id AS query, unnest({WORDS.format('text')}) AS token FROM benchmark),
+    q AS (SELECT DISTINCT item_id AS query, {cutoff} AS cutoff, unnest({WORDS.format('text')}) AS token FROM benchmark),
     sc AS (SELECT query, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 9) AS score
-        FROM q JOIN f USING (token) JOIN d USING (token), s WHERE chapter <= {CUTOFF} GROUP BY query, id),
+        FROM q JOIN f USING (token) JOIN d USING (token), s WHERE position <= cutoff GROUP BY query, id),
     r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM sc WHERE score > 0)"""
 
 
+BM25 = bm25_sql("true", f"{LAST} * (item_id % 8 + 1) // 8")
+BM25_HALF = bm25_sql(f"doc_id <= {LAST} // 2", f"{LAST} // 2")
+
+
 def passages(t) -> DataFrame:
-    d = t("documents")
-    return d.select(F.col("source").alias("story"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("chapter"), F.col("doc_id").alias("id"), "text", "lang")
+    """Documents as passages of their source's story; a passage's position is its id."""
+    return t("documents").select(F.col("source").alias("story"), F.col("doc_id").alias("id"), F.col("doc_id").alias("position"), "text", "lang")
 
 
-def bm25(t, indexed=None) -> DataFrame:
+def bm25(t, half: bool = False) -> DataFrame:
+    """Every item with a cutoff of its own, an eighth to all of the table's positions; or all items and the index up to its middle."""
+    last = t("documents").agg(F.max("doc_id")).first()[0] or 0
     p = passages(t).withColumn("tokens", tx.word_tokens(F.col("text")))
-    q = t("benchmark").select(F.col("item_id").alias("query"), tx.word_tokens(F.col("text")).alias("tokens"))
-    return rt.bm25_scores(p if indexed is None else p.where(indexed), q, allowed=F.col("chapter") <= CUTOFF)
+    cutoff = F.lit(last // 2) if half else F.floor(F.lit(last) * (F.col("item_id") % 8 + 1) / 8)
+    q = t("benchmark").select(F.col("item_id").alias("query"), cutoff.alias("cutoff"), tx.word_tokens(F.col("text")).alias("tokens"))
+    return rt.bm25_scores(p.where(F.col("position") <= last // 2) if half else p, q)
 
 
-@query(f"WITH {BM25.replace('{where}', 'true')} SELECT query, id, CAST(rank AS INTEGER) AS rank, score FROM r WHERE rank <= {TOP}")
+@query(f"WITH {BM25} SELECT query, id, CAST(rank AS INTEGER) AS rank, score FROM r WHERE rank <= {TOP}")
 def bm25_topk(spark, t):
-    """BM25 top-k over passages at or before the cutoff, statistics over all passages."""
+    """BM25 top-k over passages at or before each query's cutoff, statistics over all passages."""
     return rt.ranked(bm25(t), "id", k=TOP).select("query", "id", "rank", "score")
 
 
-@query(f"WITH {BM25.replace('{where}', f'chapter <= {CUTOFF}')} SELECT query, id, CAST(rank AS INTEGER) AS rank, score FROM r WHERE rank <= {TOP}")
+@query(f"WITH {BM25_HALF} SELECT query, id, CAST(rank AS INTEGER) AS rank, score FROM r WHERE rank <= {TOP}")
 def bm25_topk_cutoff_index(spark, t):
-    """The same with statistics over the passages up to the cutoff only."""
-    return rt.ranked(bm25(t, F.col("chapter") <= CUTOFF), "id", k=TOP).select("query", "id", "rank", "score")
+    """The same with an index that ends at the table's middle position: statistics over the passages up to it only."""
+    return rt.ranked(bm25(t, half=True), "id", k=TOP).select("query", "id", "rank", "score")
 
 
-@query(f"WITH {BM25.replace('{where}', 'true')} SELECT query, to_json(struct_pack(query := query, hits := list(struct_pack(rank := rank, id := id) ORDER BY rank))) AS document FROM r WHERE rank <= 3 GROUP BY query")
+@query(f"WITH {BM25} SELECT query, to_json(struct_pack(query := query, hits := list(struct_pack(rank := rank, id := id) ORDER BY rank))) AS document FROM r WHERE rank <= 3 GROUP BY query")
 def bm25_result_documents(spark, t):
     """Results as one JSON document per query (scores left out: engines print doubles differently)."""
     hits = rt.ranked(bm25(t), "id", k=3)
@@ -82,12 +92,12 @@ def bm25_result_documents(spark, t):
     return hits.groupBy("query").agg(F.to_json(F.struct("query", ordered.alias("hits"))).alias("document"))
 
 
-@query(f"WITH {P}, t AS (SELECT id, {WORDS.format('text')} AS tokens FROM p), e AS (SELECT id, unnest(tokens) AS token FROM t) SELECT token, count(DISTINCT id) AS df, count(*) AS tf FROM e GROUP BY token HAVING count(DISTINCT id) >= 20")
+@query(f"WITH t AS (SELECT doc_id AS id, {WORDS.format('text')} AS tokens FROM documents), e AS (SELECT id, unnest(tokens) AS token FROM t) SELECT token, count(DISTINCT id) AS df, count(*) AS tf FROM e GROUP BY token")
 def corpus_statistics(spark, t):
     """Document and term frequencies of tokens."""
     e = t("documents").select("doc_id", F.explode(tx.word_tokens(F.col("text"))).alias("token"))
     per = e.groupBy("token", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tf")).where("df >= 20")
+    return per.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tf"))
 
 
 @query()
@@ -98,39 +108,35 @@ def bm25_latin_bigrams(spark, t):
     return rt.ranked(rt.bm25_scores(p, q), "id", k=TOP)
 
 
-PROBES = 12
+#: The stated query set, which grows with the table.
+STATED = "id % 50 = 0"
 DENSE = f"""v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
     u AS (SELECT id, label, list_transform(x, lambda y: y / sqrt(list_sum(list_transform(x, lambda z: z * z)))) AS x, list_transform(x[1:32], lambda y: y / sqrt(list_sum(list_transform(x[1:32], lambda z: z * z)))) AS h FROM v),
-    ks AS (SELECT q.id AS query, p.id, round(list_dot_product(q.x, p.x), 9) AS score FROM u q, u p WHERE q.id < {PROBES} AND q.id <> p.id),
+    ks AS (SELECT q.id AS query, p.id, round(list_dot_product(q.x, p.x), 9) AS score FROM u q, u p WHERE q.{STATED} AND q.id <> p.id),
     k AS (SELECT query, id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS rank, score FROM ks),
-    ms AS (SELECT q.id AS query, p.id, round(list_dot_product(q.h, p.h), 9) AS score FROM u q, u p WHERE q.id < {PROBES} AND q.id <> p.id),
+    ms AS (SELECT q.id AS query, p.id, round(list_dot_product(q.h, p.h), 9) AS score FROM u q, u p WHERE q.{STATED} AND q.id <> p.id),
     m AS (SELECT query, id, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS INTEGER) AS rank, score FROM ms),
-    g AS (SELECT q.id AS query, s.i AS set_index, p.id FROM u q, u p, (VALUES (0, 7), (1, 11)) s(i, f) WHERE q.id < {PROBES} AND q.label = p.label AND p.id <> q.id AND p.id % s.f = 0 AND p.id < 300)"""
+    g AS (SELECT q.id AS query, CAST(p.id % 2 AS INTEGER) AS set_index, p.id FROM u q, u p WHERE q.{STATED} AND q.label = p.label AND p.id <> q.id)"""
 
 
-#: The stated query set, which grows with the table. The queries with SQL keep the first PROBES ids that their SQL names.
-STATED = "id % 50 = 0"
+def dense(t, dims: int = 64) -> DataFrame:
+    v = t("embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, dims).alias("vector"))
+    return rt.ranked(rt.cosine_scores(v, v.where(STATED).select(F.col("id").alias("query"), "vector")).where("query <> id"), "id")
 
 
-def dense(t, dims: int = 64, probes=None) -> DataFrame:
-    v = t("embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, dims).alias("vector"))
-    q = v.where(F.col("id") < PROBES if probes is None else probes).select(F.col("id").alias("query"), "vector")
-    return rt.ranked(rt.cosine_scores(v, q).where("query <> id"), "id")
+def stated(t) -> DataFrame:
+    return t("embeddings").select(F.col("vec_id").alias("id"), "label").where(STATED).select(F.col("id").alias("query"), "label")
 
 
 def gold(t) -> DataFrame:
+    """Required evidence of every stated query: the other vectors of its label, the even and the odd ids as alternative sets."""
     v = t("embeddings").select(F.col("vec_id").alias("id"), "label")
-    q = v.where(F.col("id") < PROBES).select(F.col("id").alias("query"), F.col("label").alias("q_label"))
-    pairs = v.where("id < 300").join(F.broadcast(q), (F.col("label") == F.col("q_label")) & (F.col("id") != F.col("query")))
-    return pairs.select("query", F.explode(F.expr("filter(array(if(id % 7 = 0, 0, null), if(id % 11 = 0, 1, null)), x -> x is not null)")).alias("set_index"), "id")
+    return v.join(stated(t), "label").where("id <> query").select("query", F.expr("cast(id % 2 as int)").alias("set_index"), "id")
 
 
 def whole_gold(t) -> DataFrame:
-    """The required evidence of the first PROBES queries: every other vector of the label, as one set."""
-    v = t("embeddings").select(F.col("vec_id").alias("id"), "label")
-    q = v.where(F.col("id") < PROBES).select(F.col("id").alias("query"), F.col("label").alias("q_label"))
-    pairs = v.join(F.broadcast(q), (F.col("label") == F.col("q_label")) & (F.col("id") != F.col("query")))
-    return pairs.select("query", F.lit(0).alias("set_index"), "id")
+    """The same as one set."""
+    return gold(t).withColumn("set_index", F.lit(0))
 
 
 @query(f"WITH {DENSE} SELECT query, id, rank, score FROM k WHERE rank <= 10")
@@ -183,7 +189,7 @@ def consensus_rank_sum(spark, t):
 def mmr_top10(spark, t):
     """Maximal marginal relevance over each query's first 50."""
     v = t("embeddings").select(F.col("vec_id").alias("id"), rt.unit(F.col("embedding")).alias("vector"))
-    return rt.mmr(dense(t, probes=STATED).where("rank <= 50").join(v, "id"), 10)
+    return rt.mmr(dense(t).where("rank <= 50").join(v, "id"), 10)
 
 
 @query(f"WITH {DENSE}, a AS (SELECT query, id % 40 AS id, rank FROM k WHERE rank <= 60), o AS (SELECT query, id, min(rank) AS f FROM a GROUP BY query, id) SELECT query, id, CAST(row_number() OVER (PARTITION BY query ORDER BY f, id) AS INTEGER) AS place, row_number() OVER (PARTITION BY query ORDER BY f, id) <= 8 AS delivered FROM o")
@@ -229,11 +235,11 @@ def macro_means(spark, t):
     return ev.macro_means(ev.probe_metrics(gold(t), dense(t)).join(labels, "query"), MEANS, "label")
 
 
-@query(f"WITH {DENSE}, h AS (SELECT k.query, k.id % 60 AS position, 20 + k.query AS cutoff FROM k WHERE rank <= 10) SELECT query, CAST(max(CASE WHEN position > cutoff THEN 1 ELSE 0 END) AS INTEGER) AS any_beyond, round(avg(CASE WHEN position > cutoff THEN 1.0 ELSE 0.0 END), 9) AS share_beyond FROM h GROUP BY query")
+@query(f"WITH {DENSE}, h AS (SELECT k.query, k.id % 60 AS position, 20 + k.query % 40 AS cutoff FROM k WHERE rank <= 10) SELECT query, CAST(max(CASE WHEN position > cutoff THEN 1 ELSE 0 END) AS INTEGER) AS any_beyond, round(avg(CASE WHEN position > cutoff THEN 1.0 ELSE 0.0 END), 9) AS share_beyond FROM h GROUP BY query")
 def spoiler_rates(spark, t):
     """Both spoiler definitions at depth 10."""
     r = dense(t).select("query", "rank", F.expr("id % 60").alias("position"))
-    return ev.spoilers(r, spark.range(PROBES).select(F.col("id").alias("query"), (F.col("id") + 20).alias("cutoff")))
+    return ev.spoilers(r, stated(t).select("query", F.expr("20 + query % 40").alias("cutoff")))
 
 
 def units(t) -> DataFrame:
@@ -298,7 +304,6 @@ def top10_changes(spark, t):
 
 
 def paired(t) -> DataFrame:
-    # 12 queries still: the exact sign-flip test enumerates 20 differences at most, and the stated queries have more
     a, b = (ev.probe_metrics(whole_gold(t), dense(t, dims)) for dims in (64, 32))
     return a.select("query", F.col("recall_10").alias("x"), F.col("hit_1").alias("hx")).join(b.select("query", F.col("recall_10").alias("y"), F.col("hit_1").alias("hy")), "query")
 
@@ -339,21 +344,41 @@ def paragraph_spans(spark, t):
     return ig.paragraphs(line_rows(t)).select("doc", "ordinal", "char_start", "char_end", "byte_start", "byte_end")
 
 
-@query()
+PACKED = """d AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY line) AS n, char_start AS a, char_end AS b FROM l WHERE NOT regexp_matches(content, '^\\s*$')),
+    w AS (SELECT doc, n, a, b, CASE WHEN b - a <= 1200 THEN a END AS s, n AS f FROM d WHERE n = 1
+        UNION ALL SELECT d.doc, d.n, d.a, d.b, CASE WHEN d.b - d.a > 1200 THEN NULL WHEN d.b - w.s <= 1200 THEN w.s ELSE d.a END, CASE WHEN d.b - w.s <= 1200 AND d.b - d.a <= 1200 THEN w.f ELSE d.n END FROM w JOIN d ON d.doc = w.doc AND d.n = w.n + 1),
+    x AS (SELECT doc, s AS char_start, max(b) AS char_end, f AS first_paragraph, max(n) AS last_paragraph, 'PACK' AS reason FROM w WHERE s IS NOT NULL GROUP BY doc, s, f
+        UNION ALL SELECT doc, c, least(c + 1200, b), n, n, 'HARD_SPLIT' FROM (SELECT doc, n, b, unnest(range(a, b, 1200)) AS c FROM w WHERE s IS NULL))"""
+
+
+@query(f"WITH RECURSIVE {LINES}, {PACKED} SELECT doc, CAST(row_number() OVER (PARTITION BY doc ORDER BY char_start) AS INTEGER) AS chunk, char_start, char_end, CAST(first_paragraph AS INTEGER) AS first_paragraph, CAST(last_paragraph AS INTEGER) AS last_paragraph, reason FROM x")
 def paragraph_pack(spark, t):
     """Paragraphs packed into chunks of at most 1,200 characters."""
     return ig.pack_paragraphs(dense_paragraphs(t))
 
 
-@query("SELECT doc_id AS doc, 0::BIGINT AS char_start, '' AS kind FROM documents WHERE false")
+GAPS = """g AS (SELECT doc, ordinal, char_start, char_end + CASE WHEN ordinal % 4 = 1 THEN 9 ELSE 0 END AS char_end FROM x WHERE ordinal % 3 <> 0),
+    y AS (SELECT doc, char_start, coalesce(lag(char_end) OVER (PARTITION BY doc ORDER BY char_start), 0) AS last_end FROM g UNION ALL SELECT doc, NULL, max(char_end) FROM g GROUP BY doc),
+    z AS (SELECT doc, char_start, last_end, substr(text, last_end + 1, greatest(coalesce(char_start, length(text)) - last_end, 0)) AS gap FROM y JOIN documents ON doc_id = doc)"""
+ISLANDS = "s AS (SELECT *, sum(CASE WHEN regexp_matches(content, '^\\s*$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY line) AS island FROM l), x AS (SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY min(char_start)) AS ordinal, min(char_start) AS char_start, max(char_end) AS char_end FROM s WHERE NOT regexp_matches(content, '^\\s*$') GROUP BY doc, island)"
+
+
+@query(f"WITH {LINES}, {ISLANDS}, {GAPS} SELECT doc, coalesce(char_start, last_end)::BIGINT AS char_start, CASE WHEN char_start < last_end THEN 'OVERLAP' ELSE 'TEXT_OUTSIDE' END AS kind FROM z WHERE coalesce(char_start < last_end, false) OR NOT regexp_matches(gap, '^\\s*$')")
 def coverage_gaps(spark, t):
-    """Text outside all paragraphs, and overlaps: there must be none."""
+    """Text outside all spans, and overlaps, where every third paragraph is taken out and every fourth reaches too far."""
+    spans = ig.paragraphs(line_rows(t)).where("ordinal % 3 <> 0").withColumn("char_end", F.expr("char_end + if(ordinal % 4 = 1, 9, 0)"))
+    return ig.gap_violations(spans, t("documents").select(F.col("doc_id").alias("doc"), "text"))
+
+
+@query("SELECT doc_id AS doc, 0::BIGINT AS char_start, '' AS kind FROM documents WHERE false")
+def paragraph_coverage(spark, t):
+    """The paragraphs as they are leave nothing out and do not overlap."""
     return ig.gap_violations(ig.paragraphs(line_rows(t)), t("documents").select(F.col("doc_id").alias("doc"), "text"))
 
 
-@query("SELECT story, sha256(string_agg(v, chr(10) ORDER BY o)) AS fingerprint FROM (SELECT source AS story, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS o, text FROM documents) x, LATERAL (SELECT CASE WHEN o < 1000 THEN lpad(CAST(o AS VARCHAR), 3, '0') ELSE left(CAST(o AS VARCHAR), 3) END || ':' || sha256(text) AS v) GROUP BY story")
+@query("SELECT source AS story, sha256(string_agg(CASE WHEN doc_id < 100 THEN lpad(CAST(doc_id AS VARCHAR), 3, '0') ELSE CAST(doc_id AS VARCHAR) END || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY source")
 def corpus_fingerprints(spark, t):
-    return ig.corpus_fingerprint(passages(t).select("story", F.col("chapter").alias("order"), "text"))
+    return ig.corpus_fingerprint(passages(t).select("story", F.col("position").alias("order"), "text"))
 
 
 WINDOWS = "n AS (SELECT doc_id AS doc, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS n FROM documents)"
@@ -414,20 +439,21 @@ def upper_medians(spark, t):
     return t("events").groupBy("event_type").agg(ev.upper_median(F.col("user_id")).alias("upper_median"))
 
 
-@query("""WITH h AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS rn FROM conversations WHERE [conv_id, turn] <= [60, 3])
+@query("""WITH h AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) AS rn FROM conversations WHERE [conv_id, turn] <= [(SELECT max(conv_id) * 3 // 4 FROM conversations), 3])
     SELECT conv_id, role, turn AS as_of, sha256(text) AS state FROM h WHERE rn = 1""")
 def as_of_latest(spark, t):
     """Latest state per conversation and role at or before a position (lexicographic)."""
-    c = t("conversations").withColumn("position", F.array("conv_id", "turn")).where(F.col("position") <= F.array(F.lit(60).cast("long"), F.lit(3).cast("long")))
+    last = t("conversations").agg(F.max("conv_id")).first()[0] or 0
+    c = t("conversations").withColumn("position", F.array("conv_id", "turn")).where(F.col("position") <= F.array(F.lit(last * 3 // 4).cast("long"), F.lit(3).cast("long")))
     return c.groupBy("conv_id", "role").agg(F.max(F.struct("turn", "text")).alias("m")).select("conv_id", "role", F.col("m.turn").alias("as_of"), F.sha2("m.text", 256).alias("state"))
 
 
-@query("""WITH s AS (SELECT least(p.l_suppkey, p.l_partkey) AS a, greatest(p.l_suppkey, p.l_partkey) AS b, p.l_orderkey AS pos, p.l_linenumber AS ln FROM lineitem p WHERE p.l_suppkey <> p.l_partkey AND p.l_orderkey < 500),
+@query("""WITH s AS (SELECT least(p.l_suppkey, p.l_partkey) AS a, greatest(p.l_suppkey, p.l_partkey) AS b, p.l_orderkey AS pos, p.l_linenumber AS ln FROM lineitem p WHERE p.l_suppkey <> p.l_partkey AND p.l_orderkey < (SELECT max(l_orderkey) FROM lineitem)),
     r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY pos DESC, ln DESC) AS n FROM s) SELECT [CAST(a AS BIGINT), CAST(b AS BIGINT)] AS pair, CAST(ln AS BIGINT) AS state, CAST(pos AS BIGINT) AS as_of FROM r WHERE n = 1""")
 def latest_pair_states(spark, t):
     """Latest state of each unordered pair strictly before a position."""
     rows = t("lineitem").select(F.col("l_suppkey").cast("long").alias("a"), F.col("l_partkey").cast("long").alias("b"), F.col("l_orderkey").cast("long").alias("position"), F.col("l_linenumber").cast("long").alias("state"))
-    return me.latest_states(rows, F.lit(500))
+    return me.latest_states(rows, F.lit(rows.agg(F.max("position")).first()[0]))
 
 
 SEGMENTS = "s AS (SELECT conv_id AS doc, turn AS position, (conv_id * 31 + turn * 17) % 9 = 0 AS exposed FROM conversations)"
@@ -529,20 +555,19 @@ def commitment_status(spark, t):
     return gr.commitments(s)
 
 
-@query("""WITH v AS (SELECT o_custkey AS k, o_orderkey AS a, o_orderstatus AS v, o_orderkey % 7 AS s, o_orderkey % 11 AS e FROM orders WHERE o_orderkey < 4000)
+@query("""WITH v AS (SELECT o_custkey AS k, o_orderkey AS a, o_orderstatus AS v, o_orderkey % 7 AS s, o_orderkey % 11 AS e FROM orders)
     SELECT CAST(x.k AS BIGINT) AS key, CAST(x.a AS BIGINT) AS first, CAST(y.a AS BIGINT) AS second FROM v x JOIN v y ON x.k = y.k AND x.a < y.a AND x.v <> y.v WHERE NOT (x.e = y.s OR y.e = x.s)""")
 def functional_conflicts(spark, t):
     """Different values of one key that are not provably disjoint in time."""
-    o = t("orders").where("o_orderkey < 4000")
-    return gr.functional_conflicts(o.select(F.col("o_custkey").cast("long").alias("key"), F.col("o_orderkey").cast("long").alias("assertion"), F.col("o_orderstatus").alias("value"), F.expr("o_orderkey % 7").alias("start_anchor"), F.expr("o_orderkey % 11").alias("end_anchor")))
+    return gr.functional_conflicts(t("orders").select(F.col("o_custkey").cast("long").alias("key"), F.col("o_orderkey").cast("long").alias("assertion"), F.col("o_orderstatus").alias("value"), F.expr("o_orderkey % 7").alias("start_anchor"), F.expr("o_orderkey % 11").alias("end_anchor")))
 
 
 GATES = (("CONSISTENCY", "view"), ("CONSISTENCY", "click"), ("SAFETY", "error"), ("COVERAGE", "nothing"))
 
 
-@query("WITH f AS (SELECT event_type AS category, CASE WHEN value > 95 THEN 'CRITICAL' ELSE 'LOW' END AS severity FROM events WHERE event_id < 400), g(gate, category) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in GATES) + ") SELECT gate, CASE WHEN count(*) FILTER (severity = 'CRITICAL') > 0 THEN 'FAIL' WHEN count(severity) > 0 THEN 'FLAG' ELSE 'PASS' END AS status, count(severity) AS n FROM g LEFT JOIN f USING (category) GROUP BY gate")
+@query("WITH f AS (SELECT event_type AS category, CASE WHEN value > 95 THEN 'CRITICAL' ELSE 'LOW' END AS severity FROM events), g(gate, category) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in GATES) + ") SELECT gate, CASE WHEN count(*) FILTER (severity = 'CRITICAL') > 0 THEN 'FAIL' WHEN count(severity) > 0 THEN 'FLAG' ELSE 'PASS' END AS status, count(severity) AS n FROM g LEFT JOIN f USING (category) GROUP BY gate")
 def gate_report(spark, t):
-    f = t("events").where("event_id < 400").select(F.col("event_type").alias("category"), F.when(F.col("value") > 95, "CRITICAL").otherwise("LOW").alias("severity"))
+    f = t("events").select(F.col("event_type").alias("category"), F.when(F.col("value") > 95, "CRITICAL").otherwise("LOW").alias("severity"))
     return me.gates(f, spark.createDataFrame(GATES, "gate string, category string"))
 
 

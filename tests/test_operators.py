@@ -1,5 +1,6 @@
 """Operators on hand-made cases."""
 
+import hashlib
 import json
 import math
 
@@ -88,6 +89,13 @@ def test_statistics(spark):
     flips = [abs(sum(v if code >> i & 1 else -v for i, v in enumerate(d))) >= abs(sum(d)) - 1e-12 for code in range(2 ** len(d))]
     assert ev.sign_flip(p, "x", "y").first()["p"] == pytest.approx(sum(flips) / len(flips))
     assert ev.mcnemar(p, "x", "x").first()["p"] == 1.0
+    assert ev.sign_flip(p, "x", "x").first().asDict() == {"n": 0, "p": 1.0}
+    odd = spark.createDataFrame([(i, 0.0, x) for i, x in enumerate([0.25, -0.1, 0.4, 0.3, 0.0, 0.25, 0.05])], "query long, x double, y double")
+    d = [5, -2, 8, 6, 5, 1]
+    flips = [abs(sum(v if code >> i & 1 else -v for i, v in enumerate(d))) >= abs(sum(d)) for code in range(2 ** len(d))]
+    assert ev.sign_flip(odd, "x", "y").first().asDict() == {"n": 6, "p": pytest.approx(sum(flips) / len(flips))}
+    many = spark.range(300).selectExpr("id as query", "0.0d as x", "if(id % 3 = 0, -0.5d, 0.5d) as y")
+    assert 0 < ev.sign_flip(many, "x", "y").first()["p"] < 1e-6
     boot = ev.paired_bootstrap(p, "x", "y", 500).first()
     assert boot["low"] <= boot["mean_difference"] <= boot["high"]
 
@@ -130,6 +138,45 @@ def test_availability(spark):
     assert {r["assertion"] for r in shown.collect()} == {1, 2, 4}
 
 
+def test_long_chains_and_circles_settle_or_fail(spark):
+    chain = spark.range(70).selectExpr("id + 1 as assertion", "1 as path", "id as premise")
+    every = spark.range(71).selectExpr("id as assertion", "false as rejected")
+    one = spark.createDataFrame([(0, 0, [3], True, True)], "assertion long, path int, position array<int>, grounding boolean, sufficient boolean")
+    with pytest.raises(RuntimeError):
+        gr.availability(every, one, chain, most_rounds=5)
+    with pytest.raises(RuntimeError):
+        gr.components(every.select(F.col("assertion").alias("node")), chain.select(F.col("assertion").alias("a"), F.col("premise").alias("b")), most_rounds=2)
+    ring = spark.range(70).selectExpr("id as assertion", "1 as path", "(id + 1) % 70 as premise").unionByName(spark.createDataFrame([(100, 1, 5), (5, 1, 200)], "assertion long, path int, premise long"))
+    assert {r["assertion"] for r in gr.circular(ring).collect()} == set(range(70))
+    assert gr.circular(chain).count() == 0
+
+
+def test_interval_joins_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    spans = lambda n: [(i, rng.randrange(3), a, a + rng.choice([0, 1, 5, 40])) for i, a in ((i, rng.randrange(-30, 90)) for i in range(n))]
+    left, right = spans(150) + [(900, 0, None, 4), (901, 0, 4, None)], spans(150)
+    a = spark.createDataFrame(left, "l_id int, segment int, l_start int, l_end int")
+    b = spark.createDataFrame(right, "r_id int, segment int, r_start int, r_end int")
+    want = {(x[0], y[0]) for x in left[:150] for y in right if x[1] == y[1] and x[2] < y[3] and y[2] < x[3]}
+    got = gr.span_overlaps(a, b).collect()
+    assert len(got) == len(want) and {(r["l_id"], r["r_id"]) for r in got} == want
+    p = a.toDF("p_id", "segment", "p_start", "p_end")
+    g = b.toDF("g_id", "segment", "g_start", "g_end").withColumn("narrow", F.col("segment") == 0)
+    inside = lambda x, y: (x[2], x[3]) == (y[2], y[3]) if x[1] == 0 else x[2] <= y[2] and y[3] <= x[3]
+    want = {(x[0], y[0]) for x in left[:150] for y in right if x[1] == y[1] and inside(x, y)}
+    got = gr.span_matches(p, g).collect()
+    assert len(got) == len(want) and {(r["p_id"], r["g_id"]) for r in got} == want
+
+
+def test_fingerprints_tell_orders_apart(spark):
+    rows = spark.createDataFrame([("a", 1000, "x"), ("b", 100, "x"), ("c", 7, "x"), ("d", 10000, "x")], "story string, order int, text string")
+    got = {r["story"]: r["fingerprint"] for r in ig.corpus_fingerprint(rows).collect()}
+    sha = hashlib.sha256(b"x").hexdigest()
+    assert got == {s: hashlib.sha256(f"{n}:{sha}".encode()).hexdigest() for s, n in (("a", "1000"), ("b", "100"), ("c", "007"), ("d", "10000"))}
+
+
 def test_components(spark):
     nodes = spark.createDataFrame([(x,) for x in "abcdefg"], "node string")
     edges = spark.createDataFrame([("g", "f"), ("f", "e"), ("e", "b"), ("c", "c"), ("d", "a")], "a string, b string")

@@ -21,7 +21,7 @@ def test_mmr_answers_every_stated_query(spark, stated):
 def test_paired_statistics_see_all_evidence(spark):
     label = {r["vec_id"]: r["label"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
     table = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
-    want = {(q, i) for q in label if q < catalog.PROBES for i in label if i != q and label[i] == label[q]}
+    want = {(q, i) for q in label if q % 50 == 0 for i in label if i != q and label[i] == label[q]}
     assert {(r["query"], r["id"]) for r in catalog.whole_gold(table).collect()} == want
     assert {r["query"] for r in catalog.paired(table).collect()} == {q for q, _ in want}
 
