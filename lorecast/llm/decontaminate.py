@@ -28,8 +28,10 @@ SLICE_ITEMS, SLICE_TERMS = 224, 4096
 #: How much more the items count in the decomposition than the whole corpus: their directions must not be lost.
 ITEMS_WEIGHT = 10.0
 TERMS_IN_BLOB = 512
-#: Windows that are compared at a time.
-WINDOWS = 4096
+#: Blocks whose windows are compared at a time, and windows that meet the items at a time.
+WINDOWS, PART = 4096, 512
+#: Items of one length class whose greatest shares are bounded together.
+GROUP = 4
 
 
 def fold(data: np.ndarray) -> np.ndarray:
@@ -187,12 +189,13 @@ def _gram_times(matrix: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.nda
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, held, size = np.zeros(v * v, np.float32), [], 0
+        edges = np.linspace(0, v * v, 9).astype(np.int64)
 
         def count() -> None:
             nonlocal held, size
-            if held:
-                table[:] += np.bincount(np.concatenate(held), minlength=v * v)
-            held, size = [], 0
+            codes, held, size = np.concatenate(held) if held else np.zeros(0, np.int64), [], 0
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True) if len(codes) else ():  # the counts of an eighth of the table at a time
+                table[lo:hi] += np.bincount(codes[(codes >= lo) & (codes < hi)] - lo, minlength=hi - lo)
 
         for batch in batches:
             for _, starts, terms in _rows_of(batch):
@@ -205,7 +208,7 @@ def _gram_times(matrix: DataFrame, idf: np.ndarray, right: np.ndarray) -> np.nda
                     x, y = terms[k:][near], terms[:-k][near]
                     held += [x * v + y, y * v + x]
                 size += len(terms) * BLOCK
-                if size > 4_000_000:
+                if size > 2_000_000:
                     count()
         count()
         yield _in_parts((table.reshape(v, v) @ weighted) * idf[:, None])
@@ -310,8 +313,12 @@ def searcher(items: Items, weighted: np.ndarray, cosine: float, share: float, su
     queries = items.project(weighted).astype(np.float32)
     norms = np.linalg.norm(queries, axis=1)
     scales = [(s, which) for s in np.unique(items.scale).tolist() if len(which := np.flatnonzero((items.scale == s) & (norms > 0)))]
-    # what a term can add, at most, to the share of an item of each scale that a window holds
-    most = np.stack([np.maximum((weighted @ queries[which].T / norms[which] ** 2).max(axis=1), 0) for _, which in scales], axis=1) if scales else np.zeros((len(weighted), 0))
+    # what a term can add, at most, to the share that a window holds of any item of a group
+    groups = [[which[i : i + GROUP] for i in range(0, len(which), GROUP)] for _, which in scales]
+    most = np.zeros((len(weighted), sum(map(len, groups))), np.float32)
+    for i, g in enumerate(g for own in groups for g in own):
+        most[:, i] = (weighted @ (queries[g] / norms[g][:, None] ** 2).T).max(axis=1)
+    columns = np.cumsum([0, *map(len, groups)])
     longest = max(((1 << s) + 1 for s, _ in scales), default=0)
 
     def handle(blocks: Blocks, lo: int) -> list[tuple]:
@@ -324,25 +331,31 @@ def searcher(items: Items, weighted: np.ndarray, cosine: float, share: float, su
         return [(lo + doc, items.ids[i], *v) for (doc, i), v in best.items()]
 
     def compare(blocks: Blocks, a: int, b: int, c: int, term: np.ndarray, block: np.ndarray, last: np.ndarray, best: dict) -> None:
-        """The windows that begin in blocks a to b; sums over windows are differences of running sums up to block c."""
+        """The windows that begin in blocks a to b: first by what their terms can add to a group's share, then in the latent space.
+
+        Sums over windows are differences of running sums up to block c.
+        """
         if not len(term):
             return
         held = np.cumsum(_sum_by_block(most, term, block, c - a), axis=0)
-        z = None
+        begins = np.searchsorted(block, np.arange(c - a + 1))
         for k, (s, which) in enumerate(scales):
-            n = (1 << s) + 1
+            n, own = (1 << s) + 1, slice(columns[k], columns[k + 1])
             stop = np.minimum(np.arange(b - a) + n, last)
-            live = np.flatnonzero(held[stop, k] - held[: b - a, k] >= share)
-            if not len(live):
-                continue
-            if z is None:
-                z = np.cumsum(_sum_by_block(weighted, term, block, c - a), axis=0)
-            sums = z[stop[live]] - z[live]
-            long_ = np.linalg.norm(sums, axis=1)
-            dots = sums @ queries[which].T
-            near = (dots >= cosine * long_[:, None] * norms[which][None, :]) & (dots >= share * norms[which][None, :] ** 2)
-            for r, i in zip(*np.nonzero(near), strict=True):
-                verify(blocks, a + int(live[r]), n, int(which[i]), float(dots[r, i] / (long_[r] * norms[which[i]])), best)
+            # the running sums are rounded: a little below the share still counts
+            live = np.flatnonzero((held[stop, own] - held[: b - a, own]).max(axis=1) >= share - 1e-3)
+            live = live[begins[stop[live]] > begins[live]]
+            for some in np.split(live, range(PART, len(live), PART)):
+                if not len(some):
+                    continue
+                first, length = begins[some], begins[stop[some]] - begins[some]
+                at = np.cumsum(length) - length
+                sums = np.add.reduceat(weighted[term[np.repeat(first - at, length) + np.arange(length.sum())]], at, axis=0)
+                long_ = np.linalg.norm(sums, axis=1)
+                dots = sums @ queries[which].T
+                near = (dots >= cosine * long_[:, None] * norms[which][None, :]) & (dots >= share * norms[which][None, :] ** 2)
+                for r, i in zip(*np.nonzero(near), strict=True):
+                    verify(blocks, a + int(some[r]), n, int(which[i]), float(dots[r, i] / (long_[r] * norms[which[i]])), best)
 
     def verify(blocks: Blocks, block: int, n: int, item: int, cos: float, best: dict) -> None:
         doc = int(np.searchsorted(blocks.first, block, "right")) - 1
