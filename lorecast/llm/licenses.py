@@ -69,6 +69,15 @@ class Templates:
         self.mask = rng.integers(1, 1 << 32, max(self.bands), dtype=np.uint64).astype(np.uint32)
         self.minima = np.array([[self.permute(s, j).min() for j in range(max(self.bands))] for s in self.sets], np.uint32)
         self.containment = containment
+        self.indexes: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    def index(self, k: int, level: int, band: int) -> tuple[np.ndarray, np.ndarray]:
+        """The minima of a band, sorted, of the templates of one shingle length and window class, and whose they are."""
+        if (k, level, band) not in self.indexes:
+            own = np.array([i for i in range(len(self.sets)) if self.k[i] == k and self.level[i] == level and band < self.bands[i]], np.int64)
+            order = np.argsort(self.minima[own, band], kind="stable")
+            self.indexes[k, level, band] = (self.minima[own, band][order], own[order])
+        return self.indexes[k, level, band]
 
     def permute(self, hashes: np.ndarray, band: int) -> np.ndarray:
         h = (hashes >> np.uint64(32)).astype(np.uint32) ^ self.mask[band]
@@ -114,13 +123,14 @@ def _scan_runs(words: Words, t: Templates, k: int) -> list[tuple[int, int, float
         for level in range(top + 1):
             if level:
                 x = _pair_min(x, shapes[level - 1])
-            own = [i for i in those if t.level[i] == level and band < t.bands[i]]
-            if own:
+            minima, which = t.index(k, level, band)
+            if len(minima):
                 window = x.copy()
                 window[:-1] = np.minimum(x[:-1], x[1:])
                 window[edges[level]] = x[edges[level]]
-                for i in own:
-                    candidates.update((i, int(b)) for b in np.flatnonzero(window == t.minima[i, band]))
+                lo, hi = np.searchsorted(minima, window), np.searchsorted(minima, window, "right")
+                for b in np.flatnonzero(hi > lo).tolist():
+                    candidates.update((int(i), b) for i in which[lo[b] : hi[b]])
     out = []
     starts = [np.cumsum(s) - s for s in shapes]
     for i, b in sorted(candidates):

@@ -7,12 +7,13 @@ import math
 import random
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .shared import materialize
+from .shared import materialize, ship
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -78,7 +79,7 @@ def mix_sources(
     most: float = 3.0,
     block: int = 32,
     shard_tokens: int = 100_000,
-    shards_most: int = 4096,
+    shards_most: int = 1 << 20,
     sources_most: int = 100_000,
     seed: int = 17,
 ) -> DataFrame:
@@ -89,11 +90,13 @@ def mix_sources(
     shards; blocks of `block` words are apportioned over the sources, and each source's over its shards, by
     Sainte-Laguë. In a shard the documents stand in seeded order as one run of words cut into blocks: a quota above
     the shard's words takes the whole run as often as it fits, and the rest goes to blocks that a seeded affine
-    permutation of the block numbers picks. So a hot source is spread over its shards, and what the driver holds is
-    one row per source and shard (at most sources_most sources, an error beyond that, and shards_most shards each).
+    permutation of the block numbers picks; the last block may be shorter. So a hot source is spread over its shards.
+    The driver holds one row per source (at most sources_most of them, an error beyond that: sources are weighed
+    against each other), a task one row per shard of one source (at most shards_most; beyond that shards grow).
 
-    Null texts have size 0, take nothing and stay. A null source is a source of its own. An empty table gives an
-    empty result. Equal seeds give equal results, whatever the partitioning.
+    Null texts have size 0, take nothing and stay. A null source is a source of its own, and so is an empty one. Rows
+    that repeat an id are documents of their own; null ids stand together in one shard. An empty table gives an empty
+    result. Equal seeds give equal results, whatever the partitioning. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     sizes = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "mix-sizes")
@@ -109,21 +112,28 @@ def mix_sources(
     by_source = F.broadcast(spark.createDataFrame(source_rows, schema).withColumnRenamed("source", "of_source"))
     dealt = sizes.join(by_source, F.col("source").eqNullSafe(F.col("of_source"))).withColumn("order", F.xxhash64(F.lit(seed), F.col("id"))).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("id")), F.col("shards")))
 
-    tokens = {(r["number"], r["shard"]): r["n"] for r in dealt.groupBy("number", "shard").agg(F.sum("size").alias("n")).collect()}
-    quotas = sainte_lague(targets, round(sum(targets) / block))
-    picks, rng = [], random.Random(seed)
-    for i, quota in enumerate(quotas):
-        own = sorted(k for k in tokens if k[0] == i)
-        for key, q in zip(own, sainte_lague([tokens[k] for k in own], quota), strict=True):
-            n = tokens[key]
-            whole, passes = n // block, min(int(most), q * block // n) if n else 0
-            extra = 0 if passes >= most or not n else min(whole, round((q * block - passes * n) / block))
-            step = rng.randrange(1, max(2, whole))
-            while math.gcd(step, max(1, whole)) != 1:
-                step = step % max(1, whole) + 1
-            picks.append((*key, passes, extra, whole, step, rng.randrange(max(1, whole))))
-    quota_rows = spark.createDataFrame(picks, "q_number int, q_shard long, passes long, extra long, whole long, step long, shift long")
-    if len(picks) <= 200_000:  # about 10 MB; beyond that the join shuffles
+    quotas = enumerate(sainte_lague(targets, round(sum(targets) / block)))
+    quotas = F.broadcast(spark.createDataFrame(list(quotas), "number int, quota long"))
+    ship(spark)
+
+    def over_shards(rows: pd.DataFrame) -> pd.DataFrame:
+        """A source's quota over its shards: whole passes, and how many further blocks in which order."""
+        rows = rows.sort_values("shard")
+        rng, out = random.Random(f"{seed}:{rows['number'].iloc[0]}"), []
+        for number, shard, n, q in zip(rows["number"], rows["shard"], rows["n"], sainte_lague(rows["n"].tolist(), int(rows["quota"].iloc[0])), strict=True):
+            blocks = max(1, -(-n // block))
+            passes = min(int(most), q * block // n) if n else 0
+            extra = 0 if passes >= most or not n else min(blocks, round((q * block - passes * n) / block))
+            step = rng.randrange(1, blocks + 1)
+            while math.gcd(step, blocks) != 1:
+                step = step % blocks + 1
+            out.append((number, shard, passes, extra, blocks, step, rng.randrange(blocks)))
+        return pd.DataFrame(out, columns=["q_number", "q_shard", "passes", "extra", "blocks", "step", "shift"])
+
+    tokens = dealt.groupBy("number", "shard").agg(F.sum("size").alias("n")).join(quotas, "number")
+    picks = tokens.groupBy("number").applyInPandas(over_shards, "q_number int, q_shard long, passes long, extra long, blocks long, step long, shift long")
+    quota_rows = materialize(picks, "mix-quotas")
+    if quota_rows.count() <= 200_000:  # about 10 MB; beyond that the join shuffles
         quota_rows = F.broadcast(quota_rows)
     run = Window.partitionBy("number", "shard").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = dealt.withColumn("stop", F.sum("size").over(run)).withColumn("start", F.col("stop") - F.col("size"))
@@ -131,11 +141,11 @@ def mix_sources(
     b = F.lit(block).cast("long")
 
     def share(acc: Column, k: Column) -> Column:
-        picked = (k < F.col("whole")) & (F.pmod(k * F.col("step") + F.col("shift"), F.col("whole")) < F.col("extra"))
+        picked = F.pmod(k * F.col("step") + F.col("shift"), F.col("blocks")) < F.col("extra")
         return acc + F.when(picked, F.least(F.col("stop"), (k + 1) * b) - F.greatest(F.col("start"), k * b)).otherwise(F.lit(0).cast("long"))
 
-    blocks = F.sequence(F.expr(f"start div {block}"), F.expr(f"(stop - 1) div {block}"))
-    partly = F.when((F.col("size") > 0) & (F.col("extra") > 0), F.aggregate(blocks, F.lit(0).cast("long"), share)).otherwise(F.lit(0).cast("long"))
+    reached = F.sequence(F.expr(f"start div {block}"), F.expr(f"(stop - 1) div {block}"))
+    partly = F.when((F.col("size") > 0) & (F.col("extra") > 0), F.aggregate(reached, F.lit(0).cast("long"), share)).otherwise(F.lit(0).cast("long"))
     return placed.select(
         F.col("id").alias(id_col),
         F.col("source").alias(source_col),
