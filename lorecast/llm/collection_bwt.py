@@ -11,53 +11,43 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow.fs as pafs
 
 #: Entries of a file that are handled at a time: what fits a core's cache sorts fastest.
 PIECE = 1 << 16
-#: Files beyond so many bytes go to the shared folder instead of memory.
-MEMORY_BYTES = 64 << 20
 
 
 class SequentialFile:
-    """Entries of two bytes that are written once, in order, and then read in order: in memory while small, else in the shared folder."""
+    """A file in the shared folder of entries of two bytes that are written once, in order, and then read in order."""
 
-    def __init__(self, folder: str | None):
-        self.folder, self.parts, self.size, self.out, self.path, self.fs = folder, [], 0, None, "", None
+    def __init__(self, folder: str):
+        self.fs, base = _opened(folder)
+        self.path = f"{base}/column-{uuid.uuid4().hex}"
+        self.out = self.fs.open_output_stream(self.path, compression=None, buffer_size=4 * PIECE)
 
     def write(self, data: np.ndarray) -> None:
-        self.size += data.nbytes
-        if self.out is None and self.folder and self.size > MEMORY_BYTES:
-            self.fs, base = pafs.FileSystem.from_uri(self.folder)
-            self.fs.create_dir(base, recursive=True)
-            self.path = f"{base}/column-{uuid.uuid4().hex}"
-            self.out = self.fs.open_output_stream(self.path)
-            for p in self.parts:
-                self.out.write(p.tobytes())
-            self.parts = []
-        if self.out is None:
-            self.parts.append(data)
-        else:
-            self.out.write(data.tobytes())
+        self.out.write(data)
 
     def read(self) -> Iterator[np.ndarray]:
-        if self.out is None:
-            for part in self.parts:
-                for lo in range(0, len(part), PIECE):
-                    yield part[lo : lo + PIECE]
-        else:
-            self.out.close()
-            with self.fs.open_input_stream(self.path) as source:
-                while data := source.read(2 * PIECE):
-                    yield np.frombuffer(data, np.uint16)
+        self.out.close()
+        with self.fs.open_input_stream(self.path, compression=None) as source:
+            while data := source.read(2 * PIECE):
+                yield np.frombuffer(data, np.uint16)
 
     def drop(self) -> None:
-        if self.out is not None:
-            self.out.close()
-            self.fs.delete_file(self.path)
-        self.parts = []
+        self.out.close()
+        self.fs.delete_file(self.path)
+
+
+@lru_cache(maxsize=4)
+def _opened(folder: str) -> tuple:
+    """File system and path of a folder, which is made if need be."""
+    fs, base = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(base, recursive=True)
+    return fs, base
 
 
 def _least_between(prefixes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -82,7 +72,7 @@ def _least_up_to(prefixes: np.ndarray, stops: np.ndarray) -> np.ndarray:
     return out
 
 
-def build(symbols: np.ndarray, offsets: np.ndarray, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
+def build(symbols: np.ndarray, offsets: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray]:
     """Transform (0 marks a string's start) and common prefixes, for strings symbols[offsets[i]:offsets[i + 1]].
 
     Symbols are 1 to 255; lengths must stay below 255. Ends of strings differ from one another and sort before all

@@ -4,8 +4,8 @@ Every window of `span` bytes has an anchor: the least hash among its substrings
 equal anchors, so windows are dealt by anchor and no window is compared outside its bucket. Windows whose anchor is in
 one document only cannot repeat and are left at home. The others travel as segments (runs of windows with one
 anchor); a bucket's distinct segments are one collection, whose transform and common prefixes are built column by
-column, and suffixes that share `span` symbols are equal windows. The least document of each then decides. A segment
-that is its anchor's only one, in however many documents, shares no window with another and joins no collection.
+column, and suffixes that share `span` symbols are equal windows. The least document of each then decides. A task
+handles one bucket after the other, and there are as many buckets as the bytes ask for.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ _U = np.uint64
 ANCHOR = 24
 #: The map of shared anchors has at most 2 ^ MAP_BITS bits (32 MB); a fuller map lets more windows travel, never fewer.
 MAP_BITS = 28
+#: Bytes of all texts for each bucket, and the most buckets (a power of two).
+BUCKET_BYTES, BUCKET_BITS_MOST = 4 << 20, 20
 NOBODY = np.iinfo(np.int64).max
 
 
@@ -186,12 +188,16 @@ def _decide(span: int, blocks: int, folder: str):
     """Per bucket: which windows of each segment an earlier document holds, as runs of bytes by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for batch in batches:
-            for b, *blobs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(b, []).append([np.frombuffer(x, t) for x, t in zip(blobs, (np.uint8, np.uint8, np.uint8, np.uint32, np.int64, np.int64), strict=True)])
-        while held:
-            _, parts = held.popitem()
+        current, parts = None, []
+        for batch in batches:  # sorted by bucket
+            for row in zip(*batch.columns, strict=True):
+                b = row[0].as_py()
+                if b != current and parts:
+                    yield from decide(parts)
+                    parts = []
+                current = b
+                parts.append([np.frombuffer(x.as_py(), t) for x, t in zip(row[1:], (np.uint8, np.uint8, np.uint8, np.uint32, np.int64, np.int64), strict=True)])
+        if parts:
             yield from decide(parts)
 
     def decide(parts: list) -> Iterator[pa.RecordBatch]:
@@ -211,21 +217,14 @@ def _decide(span: int, blocks: int, folder: str):
         np.minimum.at(least, which, doc)
         np.maximum.at(most, which, doc)
         # first: the least document of each window of each segment
-        first = np.where(np.arange(wide - span + 1) < (length - span + 1)[:, None], least[:, None], NOBODY)
-        # equal windows have equal anchors: a segment that is its anchor's only one shares windows with no other
-        anchor = rows[:, :4].copy().view(">u4").ravel()
-        alone = np.append(True, anchor[1:] != anchor[:-1]) & np.append(anchor[:-1] != anchor[1:], True)
-        several = np.flatnonzero(~alone)
-        if len(several):
-            size = length[several]
-            text = rows[several][:, 5:][np.arange(wide) < size[:, None]]
-            bwt, lcp = build(text + np.uint8(1), np.concatenate([[0], np.cumsum(size)]), folder)
-            owner = np.full(int(np.count_nonzero(lcp < span)) + 1, NOBODY)
-            found = np.full((len(several), wide - span + 1), -1, np.int32)
-            for who, at, group in suffix_groups(bwt, lcp, size, span):
-                np.minimum.at(owner, group, least[several[who]])
-                found[who, at] = group
-            first[several] = np.where(found >= 0, owner[found], NOBODY)
+        text = rows[:, 5:][np.arange(wide) < length[:, None]]
+        bwt, lcp = build(text + np.uint8(1), np.concatenate([[0], np.cumsum(length)]), folder)
+        owner = np.full(int(np.count_nonzero(lcp < span)) + 1, NOBODY)
+        found = np.full((len(length), wide - span + 1), -1, np.int32)
+        for who, at, group in suffix_groups(bwt, lcp, length, span):
+            np.minimum.at(owner, group, least[who])
+            found[who, at] = group
+        first = np.where(found >= 0, owner[found], NOBODY)
         hit = np.flatnonzero((first.min(axis=1) < most)[which])  # occurrences of segments that some document loses
         for lo in range(0, len(hit), 200_000):
             h = hit[lo : lo + 200_000]
@@ -286,7 +285,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     long_enough = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= span))
     size, count = long_enough.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(8, (2 * partitions - 1).bit_length())
+    bits = min(BUCKET_BITS_MOST, max(8, (2 * partitions - 1).bit_length(), (int(size or 0) // BUCKET_BYTES).bit_length()))
     map_bits = min(MAP_BITS, max(bits + 3, int(size or 1).bit_length()))
     blocks = max(partitions, (count or 0) // 256)
     own = long_enough.mapInArrow(_own_anchors(span, bits), "bucket long, rest binary, many binary").repartition(partitions, "bucket")
@@ -299,7 +298,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def travel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _travelling(span, bits, map_bits, sent.value, blocks)(batches)
 
-    moved = long_enough.mapInArrow(travel, "bucket long, rest binary, lengths binary, bytes binary, which binary, doc binary, start binary").repartition(partitions, "bucket")
+    moved = long_enough.mapInArrow(travel, "bucket long, rest binary, lengths binary, bytes binary, which binary, doc binary, start binary").repartition(partitions, "bucket").sortWithinPartitions("bucket")
     runs = moved.mapInArrow(_decide(span, blocks, new_path(spark, "columns")), "block long, doc binary, begin binary, end binary")
     gone = materialize(runs.repartition(partitions, "block").mapInArrow(_by_document, "doc long, begin binary, end binary"), "repeat-runs")
     joined = rows.join(gone, F.col("id") == F.col("doc"), "left").select("id", "text", "begin", "end")

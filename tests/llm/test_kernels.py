@@ -36,13 +36,13 @@ def test_shingle_sets_count():
 
 
 @pytest.mark.parametrize("piece", [5, 64, 1 << 16])
-def test_transform_equals_sorting(monkeypatch, piece):
+def test_transform_equals_sorting(monkeypatch, tmp_path, piece):
     monkeypatch.setattr(collection_bwt, "PIECE", piece)
     rng = np.random.default_rng(piece)
     for _ in range(60):
         texts = [bytes(rng.integers(1, rng.integers(2, 5), rng.integers(0, 12)).astype(np.uint8)) for _ in range(rng.integers(1, 9))]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
-        bwt, lcp = collection_bwt.build(np.frombuffer(b"".join(texts), np.uint8), offsets)
+        bwt, lcp = collection_bwt.build(np.frombuffer(b"".join(texts), np.uint8), offsets, f"file://{tmp_path}/x")
         suffixes = sorted((tuple(x[k:]) + (i - 1000,), i, k) for i, x in enumerate(texts) for k in range(len(x) + 1))
         assert bwt.tolist() == [texts[i][k - 1] if k else 0 for _, i, k in suffixes]
         want = [0]
@@ -51,15 +51,10 @@ def test_transform_equals_sorting(monkeypatch, piece):
         assert lcp.tolist() == want
 
 
-def test_files_beyond_memory_go_to_the_folder(monkeypatch, tmp_path):
-    monkeypatch.setattr(collection_bwt, "MEMORY_BYTES", 64)
+def test_files_are_deleted(tmp_path):
     texts = [bytes([1, 2, 3, 4] * 9), bytes([2, 3] * 12)]
-    offsets = np.array([0, 36, 60])
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    far = collection_bwt.build(data, offsets, f"file://{tmp_path}/x")
-    near = collection_bwt.build(data, offsets)
-    assert (far[0] == near[0]).all() and (far[1] == near[1]).all()
-    assert not list((tmp_path / "x").iterdir())
+    bwt, _ = collection_bwt.build(np.frombuffer(b"".join(texts), np.uint8), np.array([0, 36, 60]), f"file://{tmp_path}/x")
+    assert len(bwt) == 62 and not list((tmp_path / "x").iterdir())
 
 
 def test_merge_runs():
