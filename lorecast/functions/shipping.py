@@ -8,8 +8,8 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
-#: Most rows of an Arrow batch between the JVM and Python.
-BATCH_ROWS = 1000
+#: Most rows and bytes of an Arrow batch between the JVM and Python (a larger single row stands alone).
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 _shipped: set[str] = set()
 
 
@@ -28,7 +28,8 @@ def ship(spark: SparkSession) -> None:
                     path = os.path.join(folder, name)
                     out.write(path, os.path.relpath(path, root))
     context.addPyFile(target)
-    # whole texts travel in these batches; the default of 10,000 rows would hold a worker's memory for nothing
+    # whole texts and tables of numbers travel in these batches; the defaults would hold memory on both sides for nothing
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     _shipped.add(context.applicationId)
