@@ -56,14 +56,16 @@ class Network:
         out = np.zeros((n, len(self.bias)), np.float32)
         live = np.flatnonzero(np.diff(offsets) > 0)
         if len(live):
-            # a zero row after each text keeps windows from reaching into the next one
-            gap = np.repeat(np.arange(n), np.diff(offsets))
-            x = np.zeros((ids.shape[1] + n, DIM), np.float32)
+            # zero rows after each text keep windows from reaching into the next one
+            rows = max(WIDTHS) - 1
+            gap = rows * np.repeat(np.arange(n), np.diff(offsets))
+            x = np.zeros((ids.shape[1] + rows * n, DIM), np.float32)
             x[np.arange(ids.shape[1]) + gap] = self.words(ids)
-            starts = (offsets[:-1] + np.arange(n))[live]
+            starts = (offsets[:-1] + rows * np.arange(n))[live]
             found = np.concatenate(self.maps(x), axis=1)
-            # windows that begin on a gap row count for the text before it: mask them
-            found[offsets[1:] + np.arange(n)] = -np.inf
+            # windows that begin on such a row count for the text before it: mask them
+            for k in range(rows):
+                found[offsets[1:] + rows * np.arange(n) + k] = -np.inf
             out[live] = np.maximum.reduceat(found, starts, axis=0)[: len(live)]
         return np.maximum(out + self.bias, 0)
 

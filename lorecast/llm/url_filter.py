@@ -20,6 +20,8 @@ DEFAULT_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www
 FEATURES = ("length", "depth", "digit_ratio", "entropy", "parameters", "labels", "path_length", "host_length", "suffix_rate", "suffix_support")
 #: Suffixes whose statistics may be broadcast; beyond that the join shuffles.
 BROADCAST_SUFFIXES = 10_000
+#: Rules that one conditional expression may hold.
+EXPRESSION_RULES = 500
 
 
 def _upper_to_lower(c: Column) -> Column:
@@ -34,9 +36,15 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tuple[Column, Column]:
-    """The longest rule that fits, and its verdict; null where none does. At most 500 rules."""
-    if len(rules) > 500:
-        raise ValueError("at most 500 rules fit in one expression")
+    """The longest rule that fits, and its verdict; null where none does. Of rules of one length the last by code point wins.
+
+    Up to EXPRESSION_RULES rules are one conditional expression; more are an array that is searched.
+    """
+    if len(rules) > EXPRESSION_RULES:
+        parts = [(len(r), r, v, *r.partition("/")[::2]) for v, r in rules]
+        every = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(r).alias("r"), F.lit(v).alias("v"), F.lit(h).alias("h"), F.lit("/" + p).alias("p")) for n, r, v, h, p in parts))
+        best = F.array_max(F.filter(every, lambda x: ((host == x["h"]) | host.endswith(F.concat(F.lit("."), x["h"]))) & path.startswith(x["p"])))
+        return best["r"], best["v"]
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for v, text in sorted(rules, key=lambda r: (len(r[1]), r[1])):
         h, slash, p = text.partition("/")
@@ -151,7 +159,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = DEFAULT_RUL
     a chance of one half).
 
     A null URL, or one without ://, has an empty host and path and is judged by its features like any other.
-    Without labelled URLs all others are allowed. Repeated rows get equal answers. Other columns are ignored.
+    Without labelled URLs all others are allowed. Repeated rows get equal answers; a null id is carried. An empty table
+    gives an empty result. Very long URLs are read whole. Other columns are ignored, whatever their names.
     """
     host, path = host_and_path(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), host.alias("host"), path.alias("path"))

@@ -25,7 +25,7 @@ from .shared import materialize, new_path, ship
 SKIPPABLE_MAGIC = 0x184D2A5D
 #: Payloads of fewer bytes are always written out.
 REVISIT_BYTES = 1000
-#: Records of an archive that its dictionary is built from: the first ones, up to so many bytes.
+#: Records of an archive that its dictionary is built from: evenly spread ones, of about so many bytes together.
 DICTIONARY_SAMPLE_BYTES = 2 << 20
 DICTIONARY_BYTES = 64 << 10
 #: Payload bytes after which a new archive is begun.
@@ -43,10 +43,11 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     kind = "response" if refers_to is None else "revisit"
     name = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{page_id}:{digest}:{kind}")
+    response = uuid.uuid5(uuid.NAMESPACE_URL, f"page:{refers_to}:{digest}:response")
     target = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Page-ID: {'' if page_id is None else page_id}"]
     if refers_to is not None:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:uuid:{response}>", f"X-Refers-To-Page-ID: {refers_to}"]
     block = http + (payload if refers_to is None else b"")
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -73,12 +74,9 @@ def parse_record(raw: bytes) -> dict:
 
 def build_dictionary(records: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
     """A trained dictionary, or the raw bytes of the records where they are too few or too short to train on."""
-    sample, total = [], 0
-    for r in records:
-        if total >= DICTIONARY_SAMPLE_BYTES:
-            break
-        sample.append(r[:131_072])  # what a dictionary can refer to; the records themselves stay whole
-        total += len(sample[-1])
+    step = max(1, -(-sum(min(len(r), 131_072) for r in records) // DICTIONARY_SAMPLE_BYTES))
+    sample = [r[:131_072] for r in records[::step]]  # what a dictionary can refer to; the records themselves stay whole
+    total = sum(map(len, sample))
     try:
         if len(sample) >= 8:
             return zstandard.train_dictionary(min(size, max(1024, total // 10)), sample).as_bytes()
@@ -163,7 +161,8 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     responses. The groups are combined on the map side and meet their rows in a join that adaptive execution splits.
 
     A null html is an empty payload, a null url an empty target. A row with a null id is a response, refers to
-    nothing and is referred to by nothing. Rows that repeat an id and payload are responses all.
+    nothing and is referred to by nothing. Rows that repeat an id and payload are responses all, with one record id. An
+    empty table gives an empty manifest. Other columns are ignored, whatever their names.
     """
     spark = pages.sparkSession
     ship(spark)

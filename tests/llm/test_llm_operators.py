@@ -224,6 +224,99 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.where("false")).count() == 0
 
 
+def test_many_rules_and_odd_urls(spark, monkeypatch):
+    urls = ["http://a.com/x/1", "http://b.a.com/x", "http://a.com/", None, "http://a.com/x/1", "http://" + "a" * 50_000 + ".com/" + "y" * 50_000]
+    pages = spark.createDataFrame([(i if i % 2 else None, u, "a") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+    rules = (("allow", "com/"), ("block", "a.com/x/"), ("allow", "a.com/"), ("block", "b.a.com/"), ("allow", "a.com/z/"), ("block", "a.com/z/"))
+    read = lambda: sorted((tuple(r)[:5] for r in url_filter.filter_urls(pages, rules, trees=1, depth=1).collect()), key=repr)
+    few = read()
+    monkeypatch.setattr(url_filter, "EXPRESSION_RULES", 2)
+    assert read() == few and len(few) == len(urls)
+    assert {r[3] for r in few} == {"a.com/x/", "b.a.com/", "a.com/", "com/", None}
+
+
+def test_trees_score_as_loops_do(spark):
+    table = spark.read.parquet(f"{SF}/pages.parquet")
+    rows = table.selectExpr("cast(length(url) as double) as a", "cast(page_id % 5 as double) as b", "cast(page_id % 2 as double) as y")
+    model = url_filter.fit_trees(rows, ("a", "b"), trees=3, depth=2)
+    for r in rows.withColumn("m", model.margin([F.col("a"), F.col("b")])).collect():
+        want = model.base
+        for splits, leaves in model.trees:
+            node = 0
+            for f, cut in splits:
+                node = 2 * node + (r["ab"[f]] > cut)
+            want += leaves[node]
+        assert r["m"] == pytest.approx(want)
+
+
+def test_network_and_quality_score_as_loops_do():
+    texts = ["", "one", "Bad bad words, here!", "x " * 300 + "end"]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    ids, at = toxicity.tokens(data, offsets)
+    labels = np.array([0.0, 1.0, 1.0, 0.0])
+    net = toxicity.train_network([ids[:, a:b] for a, b in zip(at[:-1], at[1:], strict=True)], labels, epochs=2)
+    for i, got in enumerate(net.score(data, offsets)):
+        words = [sum(net.embed[ids[j, p]] for j in range(ids.shape[0])) for p in range(at[i], at[i + 1])]
+        best = []
+        for w, bank in zip(toxicity.WIDTHS, net.banks, strict=True):
+            for f in range(toxicity.FILTERS):
+                seen = [sum(float(words[p + k] @ bank[k][:, f]) for k in range(w) if p + k < len(words)) for p in range(len(words))]
+                best.append(max(seen) if seen else 0.0)
+        hidden = [max(b + float(c), 0.0) for b, c in zip(best, net.bias, strict=True)]
+        z = sum(h * float(o) for h, o in zip(hidden, net.out, strict=True)) + net.base
+        assert got == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+    ids, at = quality.features(data, offsets)
+    rows = [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    ratio = quality.log_count_ratio(rows, labels)
+    model = quality.Model(ratio, quality.dual_coordinate_descent(rows, labels, ratio), 1.5, -0.2)
+    for i, got in enumerate(model.score(data, offsets)):
+        own = rows[i].tolist()
+        norm = sum(ratio[k] ** 2 for k in own) ** 0.5
+        margin = sum(ratio[k] * model.weights[k] for k in own) / norm if own else 0.0
+        assert got == pytest.approx(1 / (1 + np.exp(-(1.5 * margin - 0.2))), abs=1e-6)
+
+
+def test_leaks_of_paraphrases(spark):
+    import random
+
+    rng = random.Random(5)
+    sf = "/root/testdata/sf0.01"
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    items = {r["item_id"]: r["text"].split() for r in bench.collect()}
+    noise = [w for r in spark.read.parquet(f"{sf}/documents.parquet").limit(40).collect() for w in (r["text"] or "").split()]
+    made, want = [], set()
+    for i, item in items.items():
+        for kind in ("drop", "swap", "synonym", "insert"):
+            w = list(item)
+            for _ in range(max(1, len(w) // 10)):
+                k = rng.randrange(len(w) - 1)
+                if kind == "drop":
+                    del w[k]
+                elif kind == "swap":
+                    w[k], w[k + 1] = w[k + 1], w[k]
+                elif kind == "synonym":
+                    w[k] = rng.choice(noise)
+                else:
+                    w.insert(k, rng.choice(noise))
+            a, b = rng.randrange(len(noise) - 200), rng.randrange(len(noise) - 200)
+            want.add((len(made), i))
+            made.append(" ".join(noise[a : a + rng.randrange(150)] + w + noise[b : b + rng.randrange(150)]))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs(spark, made), bench).collect()}
+    assert len(want & got) >= 0.95 * len(want)
+
+
+def test_benchmark_in_slices(spark, monkeypatch):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").limit(9).cache()
+    table = spark.read.parquet(f"{SF}/documents.parquet").unionByName(bench.selectExpr("item_id + 5000 as doc_id", "text", "'en' as lang", "'s' as source", "1L as n_chars"))
+    read = lambda b: {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(table, b).collect()}
+    whole = read(bench)
+    monkeypatch.setattr(decontaminate, "SLICE_ITEMS", 4)
+    assert read(bench) == whole and len(whole) >= 9
+    nameless = read(bench.selectExpr("cast(null as long) as item_id", "text"))
+    assert {d for d, _ in nameless} == {d for d, _ in whole} and {i for _, i in nameless} == {None}
+
+
 def test_boosted_trees_learn(spark):
     rows = spark.range(400).selectExpr("cast(id % 20 as double) as a", "cast(id % 7 as double) as b", "cast((id % 20 > 9) <> (id % 7 > 3) as double) as y")
     model = url_filter.fit_trees(rows, ("a", "b"), trees=8, depth=2)
