@@ -28,6 +28,8 @@ SLICE_ITEMS, SLICE_TERMS = 224, 4096
 #: How much more the items count in the decomposition than the whole corpus: their directions must not be lost.
 ITEMS_WEIGHT = 10.0
 TERMS_IN_BLOB = 512
+#: Blocks from which a task makes a product in the decomposition, and the most such products (then of more blocks).
+BLOCKS_A_TASK, PRODUCTS_MOST = 300_000, 4096
 #: Blocks whose windows are compared at a time, and windows that meet the items at a time.
 WINDOWS, PART = 4096, 512
 #: Items of one length class whose greatest shares are bounded together.
@@ -231,6 +233,8 @@ def latent_space(texts: DataFrame, items: Items, rank: int, seed: int) -> tuple[
     texts.mapInArrow(_block_terms(items), schema).write.parquet(path)
     matrix = spark.read.schema(schema).parquet(path)
     found = _document_frequencies(matrix, v)
+    # a task's product has the same size however few blocks it has: some hundred thousand blocks each, a few thousand tasks
+    matrix = matrix.coalesce(int(min(PRODUCTS_MOST, found[v] // BLOCKS_A_TASK + 1)))
     idf = np.log((found[v] + 1) / (found[:v] + 1)) + 0.1
     scales: list[float] = []
 
