@@ -106,20 +106,21 @@ def build(symbols: np.ndarray, offsets: np.ndarray, folder: str) -> tuple[np.nda
             symbol, prefix = (piece >> 8).astype(np.uint8), np.empty(size + 1, np.uint8)
             prefix[:size] = piece & 255
             prefix[size] = 255
-            active = np.zeros(size, bool)
-            active[at[k:k2] - lo] = True
+            active = np.zeros(size, np.uint32)  # the number of the string whose suffix is new here, from 1
+            active[at[k:k2] - lo] = np.arange(1, k2 - k + 1, dtype=np.uint32)
             order = np.argsort(symbol, kind="stable")
-            begin = np.searchsorted(symbol, np.arange(257), sorter=order)
-            counts = np.diff(begin)
+            counts = np.bincount(symbol, minlength=256)
+            begin = np.concatenate([[0], np.cumsum(counts)])
             present = np.flatnonzero(counts)
-            is_new = active[order]
+            number = active[order]
+            is_new = number > 0
             chosen = is_new.copy()
             chosen[1:] |= is_new[:-1]  # the next of its symbol after a new one
             chosen[begin[present]] = True
             chosen[: begin[1]] = False
             t = np.flatnonzero(chosen)
             if len(t):
-                c = np.searchsorted(begin, t, "right") - 1
+                c = symbol[order[t]].astype(np.int64)
                 alone = t == begin[c]
                 value = np.empty(len(t), np.uint8)
                 inner = t[~alone]
@@ -130,7 +131,7 @@ def build(symbols: np.ndarray, offsets: np.ndarray, folder: str) -> tuple[np.nda
                 position = first[c] + seen[c] + t - begin[c]
                 fresh = is_new[t]
                 new_at.append(position[fresh])
-                new_from.append(k + np.searchsorted(at[k:k2] - lo, order[t[fresh]]))
+                new_from.append(k - 1 + number[t[fresh]].astype(np.int64))
                 new_lcp.append(value[fresh])
                 fix_at.append(position[~fresh])
                 fix_lcp.append(value[~fresh])
