@@ -130,11 +130,11 @@ def train_network(ids: list[np.ndarray], y: np.ndarray, epochs: int = 6, batch:
     return net
 
 
-def language_thresholds(scores: np.ndarray, y: np.ndarray, langs: list, weights: np.ndarray | None = None, least: int = 20) -> dict:
+def language_thresholds(scores: np.ndarray, y: np.ndarray, langs: list, weights: np.ndarray | None = None, least: int = 20, within: tuple[float, float] = (0.2, 0.8)) -> dict:
     """The score from which a language's rows are rejected: that of the best F1, or 0.5 where there is too little to tell.
 
     Weights put the classes' shares right where rows were drawn by class. Between the best cut's neighbours the middle
-    is taken, and it stays within 0.2 and 0.8.
+    is taken, and it stays within bounds.
     """
     found = {}
     langs = np.array([x if x is not None else "" for x in langs], dtype=object)
@@ -148,7 +148,7 @@ def language_thresholds(scores: np.ndarray, y: np.ndarray, langs: list, weights:
         s, t, w = s[order], t[order], w[order]
         f1 = 2 * np.cumsum(t * w) / (np.cumsum(w) + (t * w).sum())
         k = int(f1.argmax())
-        found[lang] = float(np.clip((s[k] + (s[k + 1] if k + 1 < len(s) else 0.0)) / 2, 0.2, 0.8))
+        found[lang] = float(np.clip((s[k] + (s[k + 1] if k + 1 < len(s) else 0.0)) / 2, *within))
     return found
 
 
@@ -174,6 +174,11 @@ def fit_network(epochs: int):
         scores = np.concatenate([net.score(data[offsets[i] : offsets[i + 1]], offsets[i : i + 2] - offsets[i]) for i in kept])
         there = min(max(y[kept].mean(), 1e-4), 1 - 1e-4)
         weights = np.where(y[kept] > 0, share / there, (1 - share) / (1 - there))
+        # the offset moves so that the best cut over all languages scores one half
+        cut = language_thresholds(scores, y[kept], [""] * len(kept), weights, 1, (0.02, 0.98)).get("", 0.5)
+        shift = float(np.log(cut / (1 - cut)))
+        net.base -= shift
+        scores = sigmoid(np.log(scores / np.maximum(1 - scores, 1e-12)) - shift)
         return net, language_thresholds(scores, y[kept], [sample["lang"][int(i)].as_py() for i in kept], weights)
 
     return fit
@@ -183,9 +188,9 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     """One row per document: id, held_out, score, predicted (score >= 0.5), threshold and rejected (by language).
 
     One task trains the network on at most per_class labelled rows of either class (none held out, none over
-    text_bytes_most bytes, at most class_bytes_most bytes a class), of which a fifth is kept aside to set the threshold
-    of each language. The network reads nothing but the text; its offset puts the classes' shares in the sample back
-    to those among all labelled rows, and the thresholds weigh the classes by the same shares. Every whole text is
+    text_bytes_most bytes, at most class_bytes_most bytes a class), of which a fifth is kept aside to set the offset,
+    by which the best cut scores one half, and the threshold of each language. The network reads nothing but the text;
+    both are set with the classes weighed by their shares among all labelled rows. Every whole text is
     scored, however long.
 
     Null texts count as empty; a text without words gets the score of an empty one. Labels other than 0 and 1, null
