@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Every round is one large and one small star; a hub's edges meet its minimum in a join that adaptive execution
     splits, and nothing is gathered. Each round is written to the shared folder, which ends its lineage. Loops and
-    repeated edges do no harm; without edges the result is empty.
+    repeated edges do no harm; without edges the result is empty. An error if something still changes after most_rounds.
     """
     spark = edges.sparkSession
     current = edges.select("u", "v").where(F.col("u") != F.col("v"))
@@ -42,4 +42,6 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if sign == last_sign:
             break
         last_path, last_sign = path, sign
+    else:
+        raise RuntimeError("components did not settle")
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -13,11 +13,13 @@ __all__ = ["drop_path", "materialize", "new_path", "shared_dir", "ship", "table"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share. Only where the session names none (tests) a local one is made and set."""
+    """The folder all machines share. Where the session names none, one machine (tests) makes a local one; a cluster gets an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
         if not found:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("tasks need a folder that all machines share: set spark.checkpoint.dir")
             found = "file://" + tempfile.mkdtemp(prefix="lorecast-")
             spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lorecast.llm import collection_bwt, textkit
+from lorecast.llm import collection_bwt, components, textkit
 from lorecast.llm.licenses import bands_for
 from lorecast.llm.repeats import merge_runs
 
@@ -57,6 +57,13 @@ def test_files_are_deleted(tmp_path):
     assert len(bwt) == 62 and not list((tmp_path / "x").iterdir())
 
 
+def test_components_settle_or_fail(spark):
+    chain = spark.range(300).selectExpr("id as u", "id + 1 as v")
+    assert {r["root"] for r in components.connected_components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components.connected_components(chain, most_rounds=2)
+
+
 def test_merge_runs():
     a, b = merge_runs(np.array([0, 2, 5, 9]), np.array([3, 4, 9, 10]))
     assert (a.tolist(), b.tolist()) == ([0, 5], [4, 10])
