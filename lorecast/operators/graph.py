@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def _scratch(spark: SparkSession) -> str:
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        raise ValueError("iterations need a folder that all machines share: set spark.checkpoint.dir")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("iterations need a folder that all machines share: set spark.checkpoint.dir")
+        folder = "file://" + tempfile.mkdtemp(prefix="lorecast-")  # one machine, as in tests
+        spark.sparkContext.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/lorecast/{uuid.uuid4().hex}"
 
 
