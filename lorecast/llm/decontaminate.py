@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import drop_path, new_path, ship
+from .shared import drop_path, new_path, ship, tidy
 from .textkit import Words, chunks, text_bytes
 from .toxicity import PUNCTUATION
 
@@ -249,6 +249,7 @@ def latent_space(texts: DataFrame, items: Items, rank: int, seed: int) -> tuple[
     q, _ = np.linalg.qr(times(np.random.default_rng(seed).normal(size=(v, rank))))
     z = times(q)
     drop_path(spark, path)
+    tidy(spark)
     shift = 1e-7 * np.linalg.norm(z)
     z += shift * q
     core = q.T @ z

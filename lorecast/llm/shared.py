@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.shipping import ship
 
-__all__ = ["drop_path", "materialize", "new_path", "shared_dir", "ship", "table"]
+__all__ = ["drop_path", "materialize", "new_path", "shared_dir", "ship", "table", "tidy"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,9 +35,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back: the lineage ends there and survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    tidy(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver go of what a finished step held: plans, broadcasts, and with them shuffle files on the executors.
+
+    Spark drops these only when the driver happens to collect its garbage; a job of many small steps does not wait for that.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a folder made by new_path, by way of the file system that holds it."""
     jvm = spark.sparkContext._jvm
