@@ -98,11 +98,15 @@ def hedge_audit(sentences: DataFrame, statements: DataFrame, least: float = 0.5)
     """(unit, sentence, statement, similarity): unhedged sentences whose nearest statement of the unit is hedged.
 
     sentences: unit, sentence, text, hedged; statements: unit, statement, text, hedged. Compared within a unit only.
+    Texts of one unit with equal sets of pairs are compared once.
     """
-    s = sentences.where(~F.col("hedged")).select("unit", "sentence", bigram_set(F.col("text")).alias("sb"))
-    t = statements.where("hedged").select("unit", "statement", bigram_set(F.col("text")).alias("tb"))
-    pairs = s.join(t, "unit").withColumn("similarity", F.round(dice(F.col("sb"), F.col("tb")), 9)).where(F.col("similarity") >= least)
-    best = pairs.groupBy("unit", "sentence").agg(F.max(F.struct("similarity", (-F.col("statement")).alias("n"))).alias("b"))
+    s = sentences.where(~F.col("hedged")).select("unit", "sentence", F.array_sort(bigram_set(F.col("text"))).alias("sb"))
+    t = statements.where("hedged").select("unit", "statement", F.array_sort(bigram_set(F.col("text"))).alias("tb"))
+    t = t.groupBy("unit", "tb").agg(F.min("statement").alias("statement"))
+    pairs = s.select("unit", "sb").distinct().join(t, "unit").withColumn("similarity", F.round(dice(F.col("sb"), F.col("tb")), 9)).where(F.col("similarity") >= least)
+    nearest = F.struct("similarity", (-F.col("statement")).alias("n"))
+    sets = pairs.groupBy("unit", "sb").agg(F.max(nearest).alias("b"))
+    best = s.join(sets, ["unit", "sb"]).groupBy("unit", "sentence").agg(F.max("b").alias("b"))
     return best.select("unit", "sentence", (-F.col("b.n")).alias("statement"), F.col("b.similarity").alias("similarity"))
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import time
 
 import numpy as np
 import pytest
@@ -199,6 +200,18 @@ def test_roster_is_not_transitive(spark):
     assert got == {"A": ("P1", 0), "B": ("P2", 0), "C": ("P1", 2), "D": ("P1", 2)}
 
 
+def test_hedges_of_equal_texts_are_compared_once(spark):
+    """Twenty thousand rows of five texts on either side: pair by pair, 400 million comparisons take minutes."""
+    texts = ["red cup", "red cap", "blue cup", "Red  Cup", "x"]
+    text = F.element_at(F.array(*map(F.lit, texts)), (F.col("id") % 5 + 1).cast("int"))
+    rows = spark.range(40_000).select(F.lit(1).alias("unit"), "id", text.alias("text"), (F.col("id") < 20_000).alias("hedged"))
+    begun = time.monotonic()
+    got = me.hedge_audit(rows.withColumnRenamed("id", "sentence"), rows.withColumnRenamed("id", "statement")).collect()
+    assert time.monotonic() - begun < 60
+    nearest = {0: (0, 1.0), 1: (1, 1.0), 2: (2, 1.0), 3: (0, 1.0)}
+    assert len(got) == 16_000 and all((r["statement"], r["similarity"]) == nearest[r["sentence"] % 5] for r in got)
+
+
 def test_selection_limits(spark):
     w = spark.createDataFrame([(0, 1, 1, 1, 3, "a"), (0, 1, 9, 8, 10, "b"), (0, 2, 1, 1, 3, "c"), (0, 2, 2, 1, 4, "d")], "pool int, doc int, position int, low int, high int, hash string")
     got = [(r["doc"], r["position"], r["pass"]) for r in me.select_cases(w, 9).collect()]
