@@ -87,7 +87,7 @@ def build(symbols: np.ndarray, offsets: np.ndarray, folder: str) -> tuple[np.nda
         """The symbol before each string's suffix of length j, 0 where that is the whole string."""
         return np.where(lengths[strings] > j, padded[np.maximum(offsets[strings + 1] - 1 - j, 0)], 0).astype(np.uint16)
 
-    everyone = np.arange(n)
+    everyone, codes = np.arange(n), np.arange(256, dtype=np.uint8)
     last = before(everyone, 0)
     entries = SequentialFile(folder)
     entries.write(last << 8)
@@ -103,24 +103,25 @@ def build(symbols: np.ndarray, offsets: np.ndarray, folder: str) -> tuple[np.nda
         for piece in entries.read():
             size = len(piece)
             k2 = int(np.searchsorted(at, lo + size))
-            symbol, prefix = (piece >> 8).astype(np.uint8), np.empty(size + 1, np.uint8)
-            prefix[:size] = piece & 255
+            halves = piece.astype("<u2", copy=False).view(np.uint8)
+            symbol, prefix = halves[1::2].copy(), np.empty(size + 1, np.uint8)
+            prefix[:size] = halves[::2]
             prefix[size] = 255
-            active = np.zeros(size, np.uint32)  # the number of the string whose suffix is new here, from 1
-            active[at[k:k2] - lo] = np.arange(1, k2 - k + 1, dtype=np.uint32)
+            active, here = np.zeros(size, bool), at[k:k2] - lo  # where a string's suffix is new
+            active[here] = True
             order = np.argsort(symbol, kind="stable")
-            counts = np.bincount(symbol, minlength=256)
-            begin = np.concatenate([[0], np.cumsum(counts)])
+            ordered = symbol.take(order)
+            begin = np.append(np.searchsorted(ordered, codes), size)
+            counts = np.diff(begin)
             present = np.flatnonzero(counts)
-            number = active[order]
-            is_new = number > 0
+            is_new = active.take(order)
             chosen = is_new.copy()
             chosen[1:] |= is_new[:-1]  # the next of its symbol after a new one
             chosen[begin[present]] = True
             chosen[: begin[1]] = False
             t = np.flatnonzero(chosen)
             if len(t):
-                c = symbol[order[t]].astype(np.int64)
+                c = ordered[t].astype(np.int64)
                 alone = t == begin[c]
                 value = np.empty(len(t), np.uint8)
                 inner = t[~alone]
@@ -131,7 +132,7 @@ def build(symbols: np.ndarray, offsets: np.ndarray, folder: str) -> tuple[np.nda
                 position = first[c] + seen[c] + t - begin[c]
                 fresh = is_new[t]
                 new_at.append(position[fresh])
-                new_from.append(k - 1 + number[t[fresh]].astype(np.int64))
+                new_from.append(k + np.searchsorted(here, order[t[fresh]]))
                 new_lcp.append(value[fresh])
                 fix_at.append(position[~fresh])
                 fix_lcp.append(value[~fresh])

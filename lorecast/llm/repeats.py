@@ -28,11 +28,13 @@ ANCHOR = 24
 MAP_BITS = 28
 #: Bytes of all texts for each bucket, and the most buckets (a power of two).
 BUCKET_BYTES, BUCKET_BITS_MOST = 4 << 20, 20
+#: Bytes of text whose anchors are found at a time: its arrays of eight bytes a byte stay in a core's cache.
+CACHED_BYTES = 1 << 16
 NOBODY = np.iinfo(np.int64).max
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start of each window of span bytes that lies in one text, and the window's anchor."""
+    """Start of each window of span bytes that lies in one text, and the hash of its anchor, the least."""
     size, k = len(data), min(ANCHOR, span)
     if size < span:
         return np.zeros(0, np.int64), np.zeros(0, _U)
@@ -47,7 +49,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray, span: int) -> tuple[np.ndarra
         have += more
     ends = np.repeat(offsets[1:], np.diff(offsets))
     at = np.flatnonzero(np.arange(len(h)) + span <= ends[: len(h)])
-    return at, mix(h[at] ^ seeded(321))
+    return at, h[at]
+
+
+def dealt(least: np.ndarray) -> np.ndarray:
+    """Least hashes crowd at the low end: the anchors' names, one to one, are spread evenly."""
+    return mix(least ^ seeded(321))
 
 
 def segments(at: np.ndarray, anchor: np.ndarray, doc: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,6 +70,16 @@ def segments(at: np.ndarray, anchor: np.ndarray, doc: np.ndarray, span: int) ->
     return begin, np.diff(np.append(begin, len(at)))
 
 
+def cut_out(data: np.ndarray, start: np.ndarray, length: np.ndarray, most: int = 2048) -> np.ndarray:
+    """The strings data[start:start + length] one after the other."""
+    out = [np.zeros(0, np.uint8)]
+    for lo in range(0, len(start), most):
+        size = length[lo : lo + most]
+        ends = np.cumsum(size)
+        out.append(data[np.repeat(start[lo : lo + most] - ends + size, size) + np.arange(ends[-1])])
+    return np.concatenate(out)
+
+
 def _groups(sorted_keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
     cut = np.flatnonzero(np.diff(sorted_keys, prepend=-1))
     for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(sorted_keys)], strict=True) if len(cut) else ():
@@ -91,12 +108,12 @@ def _own_anchors(span: int, bits: int):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = text_bytes(batch.column(1))
-            for lo, hi in chunks(offsets):
+            for lo, hi in chunks(offsets, CACHED_BYTES):
                 own = offsets[lo : hi + 1] - offsets[lo]
                 at, anchor = anchors(data[offsets[lo] : offsets[hi]], own, span)
                 doc = np.searchsorted(own, at, "right") - 1
                 first, _ = segments(at, anchor, doc, span)
-                values.append(anchor[first])
+                values.append(dealt(anchor[first]))
                 docs.append(ids[lo + doc[first]])
                 size += len(first)
             if size > 1_000_000:
@@ -140,11 +157,8 @@ def _travelling(span: int, bits: int, map_bits: int, flags: np.ndarray, blocks:
     """
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
-        anchor, doc, start, length, text = (np.concatenate([h[i] for h in held]) for i in range(5))
+        anchor, name, doc, start, length, text = (np.concatenate([h[i] for h in held]) for i in range(6))
         offsets = np.concatenate([[0], np.cumsum(length)])
-        power, inverse = _power_tables(len(text) + 1)
-        sums = np.concatenate([np.zeros(1, _U), np.cumsum(_VALUES[text] * power[: len(text)])])
-        name = mix((sums[offsets[1:]] - sums[offsets[:-1]]) * inverse[offsets[:-1]] + length.astype(_U))
         bucket = (anchor >> _U(64 - bits)).astype(np.int64)
         order = np.lexsort((name, bucket))
         fresh = np.ones(len(order), bool)
@@ -152,9 +166,8 @@ def _travelling(span: int, bits: int, map_bits: int, flags: np.ndarray, blocks:
         pick, number = order[fresh], np.cumsum(fresh) - 1
         rest = ((anchor[pick] >> _U(32 - bits)) & _U(0xFFFFFFFF)).astype(">u4")
         size = length[pick]
-        ends = np.cumsum(size)
-        kept = text[np.repeat(offsets[pick] - ends + size, size) + np.arange(ends[-1])]
-        ends = np.concatenate([[0], ends])
+        kept = cut_out(text, offsets[pick], size)
+        ends = np.concatenate([[0], np.cumsum(size)])
         rows = []
         for b, lo, hi in _groups(bucket[order]):
             own, p, q = order[lo:hi], number[lo], number[hi - 1] + 1
@@ -166,20 +179,22 @@ def _travelling(span: int, bits: int, map_bits: int, flags: np.ndarray, blocks:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offsets = text_bytes(batch.column(1))
-            for lo, hi in chunks(offsets):
+            for lo, hi in chunks(offsets, CACHED_BYTES):
                 own, piece = offsets[lo : hi + 1] - offsets[lo], data[offsets[lo] : offsets[hi]]
                 at, anchor = anchors(piece, own, span)
-                bit = (anchor >> _U(64 - map_bits)).astype(np.int64)
+                first, n = segments(at, anchor, np.searchsorted(own, at, "right") - 1, span)
+                place = dealt(anchor[first])
+                bit = (place >> _U(64 - map_bits)).astype(np.int64)
                 shared = (flags[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
-                at, anchor = at[shared], anchor[shared]
-                if not len(at):
+                begin, place, length = at[first[shared]], place[shared], n[shared] + span - 1
+                if not len(begin):
                     continue
-                doc = np.searchsorted(own, at, "right") - 1
-                first, n = segments(at, anchor, doc, span)
-                length = n + span - 1
-                begin = np.cumsum(length) - length
-                text = piece[np.repeat(at[first] - begin, length) + np.arange(length.sum())]
-                held.append((anchor[first], ids[lo + doc[first]], at[first] - own[doc[first]], length, text))
+                doc = np.searchsorted(own, begin, "right") - 1
+                power, inverse = _power_tables(len(piece) + 1)
+                sums = np.concatenate([np.zeros(1, _U), np.cumsum(_VALUES[piece] * power[: len(piece)])])
+                name = mix((sums[begin + length] - sums[begin]) * inverse[begin] + length.astype(_U))
+                text = cut_out(piece, begin, length)
+                held.append((place, name, ids[lo + doc], begin - own[doc], length, text))
                 size += len(text)
                 if size > 8 << 20:
                     yield flush(held)

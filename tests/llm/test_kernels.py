@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from lorecast.llm import collection_bwt, components, textkit
+from lorecast.llm import collection_bwt, components, repeats, textkit
 from lorecast.llm.licenses import bands_for
 from lorecast.llm.repeats import merge_runs
 
@@ -72,3 +72,23 @@ def test_merge_runs():
 def test_band_numbers_bound_the_miss():
     for s in (0.05, 0.3, 0.9):
         assert (1 - s) ** bands_for(s, 1e-4) <= 1e-4
+
+
+def test_anchors_are_found_within_a_cores_cache(monkeypatch):
+    """Pieces of op3 are small, whatever a batch holds; a segment's name does not depend on the piece that it lies in."""
+    rng = np.random.default_rng(8)
+    shared = rng.bytes(400)
+    texts = [rng.bytes(30_000) + shared + rng.bytes(int(rng.integers(100, 900))) for _ in range(12)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12), pa.int64()), pa.array(texts, pa.binary())], names=["id", "text"])
+    sizes, plain = [], repeats.anchors
+    monkeypatch.setattr(repeats, "anchors", lambda data, offsets, span: sizes.append(len(data)) or plain(data, offsets, span))
+    rows = [r for b in repeats._travelling(50, 4, 20, np.full(1 << 17, 255, np.uint8), 8)([batch]) for r in b.to_pylist()]
+    assert max(sizes) <= 1 << 16 and len(sizes) > 1
+    occurrences = sum(len(r["which"]) // 4 for r in rows)
+    distinct = sum(len(r["lengths"]) for r in rows)
+    assert occurrences - distinct >= 11 * 10  # the shared passage travels once
+    for r in rows:
+        at = np.concatenate([[0], np.cumsum(np.frombuffer(r["lengths"], np.uint8))])
+        for w, d, x in zip(np.frombuffer(r["which"], np.uint32), np.frombuffer(r["doc"], np.int64), np.frombuffer(r["start"], np.int64), strict=True):
+            part = r["bytes"][int(at[w]) : int(at[w + 1])]
+            assert texts[d][x : x + len(part)] == part
