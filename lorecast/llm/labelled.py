@@ -14,6 +14,8 @@ from .shared import ship, tidy
 from .textkit import chunks, text_bytes
 
 FOLDS = 5
+#: So many ids with labels are broadcast (some 32 MB).
+BROADCAST_MOST = 2_000_000
 
 
 def held_out(id_col: Column) -> Column:
@@ -21,6 +23,26 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+def known_labels(labels: DataFrame, label_col: str, id_col: str) -> DataFrame:
+    """(l_id, y): labels 0 or 1 of ids that are not held out, the largest of each id."""
+    known = labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("l_id").isNotNull() & ~held_out(F.col("l_id")))
+    return known.groupBy("l_id").agg(F.max("y").alias("y"))
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str) -> tuple[DataFrame, float]:
+    """(id, y, lang or "", text) of every document with a label that may be learnt from, and the share of class 1 among the labels.
+
+    The labels are counted, and broadcast up to BROADCAST_MOST of them; more are joined by a shuffle.
+    """
+    known = known_labels(labels, label_col, id_col)
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = sum(counts.values())
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(lang.cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.join(F.broadcast(known) if n <= BROADCAST_MOST else known, F.col("id") == F.col("l_id"))
+    return rows.select("id", "y", "lang", "text"), counts.get(1, 0) / max(1, n)
+
+
 def fit_in_task(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, per_class: int, text_bytes_most: int, class_bytes_most: int, fit: Callable[[pa.Table, float], object]) -> tuple[object | None, float]:
     """fit(sample, share) run by one task, and the share of class 1 among all labelled rows that are not held out.
 
@@ -30,8 +52,7 @@ def fit_in_task(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str,
     there is nothing to fit and the object is None.
     """
     ship(docs.sparkSession)
-    known = labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("l_id").isNotNull() & ~held_out(F.col("l_id")))
-    known = known.groupBy("l_id").agg(F.max("y").alias("y"))
+    known = known_labels(labels, label_col, id_col)
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("l_id"), "l_id").limit(per_class) for y in (0, 1)]

@@ -414,3 +414,18 @@ def test_classifiers_on_odd_rows(spark, odd, empty):
         assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got)
         assert f(empty, lab).count() == 0
         assert all(r["score"] == 0 for r in f(odd, lab.where("false")).collect())
+
+
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """A mark that only texts over 100,000 bytes carry is learnt too, in parts that are averaged."""
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5]
+    fresh = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 == 0][:100]
+    long = "calm " * 20_100
+    rows = [(i, f"{long} hideous", 1) for i in ids[:60]] + [(i, long, 0) for i in ids[60:100]] + [(i, "calm day", 0) for i in ids[100:200]]
+    rows += [(i, "calm hideous" if k < 50 else "calm day", None) for k, i in enumerate(fresh)]
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    lab = spark.createDataFrame([(r[0], r[2]) for r in rows if r[2] is not None], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "PART_BYTES", 1 << 20)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.classify_toxicity(d, lab).collect()}
+    assert len(got) == len(rows)
+    assert sum(got[i] for i in fresh[:50]) >= 45 and sum(got[i] for i in fresh[50:100]) <= 5
