@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import copy
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -208,6 +210,16 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: a worker lives on into later stages, and many small arrays leave its heap full of holes."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
+
+
 def _learn(sent, epochs: int, turn: int, class_weights: tuple[float, float]):
     """Train on each part from the same network: changed embeddings by slices, and all other numbers as slice -1.
 
@@ -234,6 +246,8 @@ def _learn(sent, epochs: int, turn: int, class_weights: tuple[float, float]):
                         rows.append((k, (own - k * SLICE).astype(np.int32).tobytes(), np.concatenate([state.net.embed[own], state.seen[0][own]], axis=1).tobytes()))
                 slices, where, values = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array([part] * len(rows), pa.int64()), pa.array([len(y)] * len(rows), pa.int64()), pa.array(where, pa.binary()), pa.array(values, pa.binary())], names=["slice", "part", "n", "where", "values"])
+                del ids, state, found, rows, values, y, data
+                give_back()
 
     return run
 
