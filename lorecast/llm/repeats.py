@@ -3,9 +3,10 @@
 Every window of `span` bytes has an anchor: the least hash among its substrings of ANCHOR bytes. Equal windows have
 equal anchors, so windows are dealt by anchor and no window is compared outside its bucket. Windows whose anchor is in
 one document only cannot repeat and are left at home. The others travel as segments (runs of windows with one
-anchor); a bucket's distinct segments are one collection, whose transform and common prefixes are built column by
-column, and suffixes that share `span` symbols are equal windows. The least document of each then decides. A task
-handles one bucket after the other, and there are as many buckets as the bytes ask for.
+anchor). A bucket's distinct segments, in which a name of a few symbols stands for the anchor, are one collection,
+whose transform and common prefixes are built column by column, and suffixes that share a window's symbols are equal
+windows. The least document of each then decides. A task handles one bucket after the other, and there are as many
+buckets as the bytes ask for.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from .textkit import _VALUES, _power_tables, chunks, mix, seeded, text_bytes
 
 _U = np.uint64
 ANCHOR = 24
-#: The map of shared anchors has at most 2 ^ MAP_BITS bits (32 MB); a fuller map lets more windows travel, never fewer.
-MAP_BITS = 28
+#: The map of shared anchors has at most 2 ^ MAP_BITS bits (128 MB), PLACES of them for an anchor; a fuller map lets more
+#: windows travel, never fewer.
+MAP_BITS = 30
+PLACES = (1, 0x9E3779B1)
 #: Bytes of all texts for each bucket, and the most buckets (a power of two).
 BUCKET_BYTES, BUCKET_BITS_MOST = 4 << 20, 20
 #: Bytes of text whose anchors are found at a time: its arrays of eight bytes a byte stay in a core's cache.
@@ -90,6 +93,12 @@ def _binary(rows: list[tuple], names: list[str], first: int = 1) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64() if i < first else pa.binary()) for i in range(len(names))], names=names)
 
 
+def places(rest: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The bits that stand for an anchor in its bucket's part, of 2 ^ bits, of the map."""
+    for factor in PLACES:
+        yield (rest * np.uint32(factor)) >> np.uint32(32 - bits)
+
+
 def _own_anchors(span: int, bits: int):
     """Per task and bucket: the distinct anchors, and whether two of the task's documents have them."""
 
@@ -126,7 +135,7 @@ def _own_anchors(span: int, bits: int):
 
 
 def _shared_map(bits: int, map_bits: int):
-    """Each bucket's part of the map: a bit for every anchor that two documents, or two tasks, have."""
+    """Each bucket's part of the map: the bits of every anchor that two documents, or two tasks, have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -143,7 +152,8 @@ def _shared_map(bits: int, map_bits: int):
             rest = rest[many | again[:-1] | again[1:]]
             if len(rest):
                 flags = np.zeros(1 << (map_bits - bits), bool)
-                flags[rest >> np.uint32(32 - (map_bits - bits))] = True
+                for place in places(rest, map_bits - bits):
+                    flags[place] = True
                 yield _binary([(b, np.packbits(flags, bitorder="little").tobytes())], ["bucket", "flags"])
 
     return run
@@ -184,8 +194,11 @@ def _travelling(span: int, bits: int, map_bits: int, flags: np.ndarray, blocks:
                 at, anchor = anchors(piece, own, span)
                 first, n = segments(at, anchor, np.searchsorted(own, at, "right") - 1, span)
                 place = dealt(anchor[first])
-                bit = (place >> _U(64 - map_bits)).astype(np.int64)
-                shared = (flags[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
+                part = (place >> _U(64 - bits)).astype(np.int64) << (map_bits - bits)
+                shared = np.ones(len(place), bool)
+                for bit in places(((place >> _U(32 - bits)) & _U(0xFFFFFFFF)).astype(np.uint32), map_bits - bits):
+                    bit = part + bit
+                    shared &= (flags[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 > 0
                 begin, place, length = at[first[shared]], place[shared], n[shared] + span - 1
                 if not len(begin):
                     continue
@@ -205,10 +218,83 @@ def _travelling(span: int, bits: int, map_bits: int, flags: np.ndarray, blocks:
     return run
 
 
+def repeating_runs(rows: np.ndarray, length: np.ndarray, least: np.ndarray, most: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segment, first window, number of windows and start of the anchor of each run of windows that may repeat.
+
+    rows: segments, padded to one width. Windows whose hash is in one document only do not repeat. All windows of a run
+    have the same first occurrence of their anchor.
+    """
+    k, wide = min(ANCHOR, span), rows.shape[1]
+    power, inverse = _power_tables(wide + 1)
+    column, window = np.arange(wide - k + 1), np.arange(wide - span + 1)
+    name, anchor = np.empty((len(rows), len(window)), _U), np.empty((len(rows), len(window)), np.uint8 if wide < 256 else np.int64)
+    for lo in range(0, len(rows), 1 << 11):
+        part = rows[lo : lo + (1 << 11)]
+        sums = np.zeros((len(part), wide + 1), _U)
+        np.cumsum(_VALUES[part] * power[:wide], axis=1, out=sums[:, 1:])
+        name[lo : lo + len(part)] = mix((sums[:, span:] - sums[:, :-span]) * inverse[: len(window)])
+        h = mix((sums[:, k:] - sums[:, :-k]) * inverse[: len(column)])
+        h[column > (length[lo : lo + len(part)] - k)[:, None]] = np.iinfo(_U).max
+        at = np.where(h == h.min(axis=1)[:, None], column, column[-1]).astype(anchor.dtype)
+        anchor[lo : lo + len(part)] = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, : len(window)]
+    live = window <= (length - span)[:, None]
+    who, _ = np.nonzero(live)
+    _, same = np.unique(name[live], return_inverse=True)
+    first, last = extremes(same, least[who], int(same.max()) + 1), extremes(same, most[who], int(same.max()) + 1)
+    live[live] = (first[0] < last[1])[same]
+    go_on = live[:, 1:] & live[:, :-1] & (anchor[:, 1:] == anchor[:, :-1])
+    begin, end = live.copy(), live.copy()
+    begin[:, 1:] &= ~go_on
+    end[:, :-1] &= ~go_on
+    who, first = np.nonzero(begin)
+    _, last = np.nonzero(end)
+    return who, first, last - first + 1, anchor[who, first].astype(np.int64)
+
+
+def named(rows: np.ndarray, who: np.ndarray, first: np.ndarray, n: np.ndarray, at: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Symbols and lengths of the strings of runs, in which a name stands for the anchor, and a window's symbols.
+
+    An anchor's name is its number among the distinct ones, by all bytes. Its digits are symbols that no byte has, so
+    equal windows have equal symbols and others do not.
+    """
+    k = min(ANCHOR, span)
+    used = np.flatnonzero(np.bincount(rows.ravel(), minlength=256))
+    base = 255 - len(used)
+    if base < 2:
+        raise ValueError("texts have to be UTF-8")
+    code = np.zeros(256, np.uint8)
+    code[used] = 1 + np.arange(len(used))
+    spelt = rows[who[:, None], at[:, None] + np.arange(k)]
+    distinct, name = np.unique(spelt.view(f"V{k}").ravel(), return_inverse=True)
+    digits = 1
+    while base**digits < len(distinct):
+        digits += 1
+    more = digits - k  # symbols that a string has more than bytes
+    length, left = n + span - 1 + more, at - first
+    column, symbols = np.arange(int(length.max())), []
+    for lo in range(0, len(who), 1 << 11):
+        x = slice(lo, lo + (1 << 11))
+        source = first[x, None] + column - more * (column >= left[x, None])
+        out = code[rows[who[x, None], np.clip(source, 0, rows.shape[1] - 1)]]
+        each = np.arange(len(out))
+        for d in range(digits):
+            out[each, left[x] + d] = 1 + len(used) + name[x] // base**d % base
+        symbols.append(out[column < length[x, None]])
+    return np.concatenate(symbols), length, span + more
+
+
 def block_of(doc: np.ndarray, blocks: int) -> np.ndarray:
     return (mix(doc.astype(_U)) % _U(blocks)).astype(np.int64)
 
 
+def extremes(which: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest document of each of n."""
+    least, most = np.full(n, NOBODY), np.full(n, -NOBODY)
+    np.minimum.at(least, which, doc)
+    np.maximum.at(most, which, doc)
+    return least, most
+
+
 def _decide(span: int, blocks: int, folder: str):
     """Per bucket: which windows of each segment an earlier document holds, as runs of bytes by document."""
 
@@ -234,21 +320,30 @@ def _decide(span: int, blocks: int, folder: str):
         rows = np.zeros((len(length), wide + 5), np.uint8)
         rows[:, :4], rows[:, 4] = rest.reshape(-1, 4), length
         rows[:, 5:][np.arange(wide) < length[:, None]] = text
+        # the map lets some anchors of one document through
+        _, anchor = np.unique(rest.view(np.uint32), return_inverse=True)
+        least, most = extremes(anchor[which], doc, int(anchor.max()) + 1)
+        live = (least < most)[anchor]
+        if not live.any():
+            return
+        kept = live[which]
+        which, doc, start, rows = (np.cumsum(live) - 1)[which[kept]], doc[kept], start[kept], rows[live]
         distinct, same = np.unique(rows.view(f"V{wide + 5}").ravel(), return_inverse=True)  # by all bytes
         which = same[which]
         rows = distinct.view(np.uint8).reshape(len(distinct), wide + 5)
-        length = rows[:, 4].astype(np.int64)
-        least, most = np.full(len(length), NOBODY), np.full(len(length), -NOBODY)
-        np.minimum.at(least, which, doc)
-        np.maximum.at(most, which, doc)
+        length, rows = rows[:, 4].astype(np.int64), rows[:, 5:]
+        least, most = extremes(which, doc, len(length))
         # first: the least document of each window of each segment
-        text = rows[:, 5:][np.arange(wide) < length[:, None]]
-        bwt, lcp = build(text + np.uint8(1), np.concatenate([[0], np.cumsum(length)]), folder)
-        owner = np.full(int(np.count_nonzero(lcp < span)) + 1, NOBODY)
+        run, skipped, n, at = repeating_runs(rows, length, least, most, span)
+        if not len(run):
+            return
+        symbols, size, window = named(rows, run, skipped, n, at, span)
+        bwt, lcp = build(symbols, np.concatenate([[0], np.cumsum(size)]), folder)
+        owner = np.full(int(np.count_nonzero(lcp < window)) + 1, NOBODY)
         found = np.full((len(length), wide - span + 1), -1, np.int32)
-        for who, at, group in suffix_groups(bwt, lcp, length, span):
-            np.minimum.at(owner, group, least[who])
-            found[who, at] = group
+        for who, at, group in suffix_groups(bwt, lcp, size, window):
+            np.minimum.at(owner, group, least[run[who]])
+            found[run[who], skipped[who] + at] = group
         first = np.where(found >= 0, owner[found], NOBODY)
         hit = np.flatnonzero((first.min(axis=1) < most)[which])  # occurrences of segments that some document loses
         for lo in range(0, len(hit), 200_000):
@@ -311,7 +406,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size, count = long_enough.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = min(BUCKET_BITS_MOST, max(8, (2 * partitions - 1).bit_length(), (int(size or 0) // BUCKET_BYTES).bit_length()))
-    map_bits = min(MAP_BITS, max(bits + 3, int(size or 1).bit_length()))
+    map_bits = min(MAP_BITS, max(bits + 3, (int(size or 1) // 4).bit_length()))
     blocks = max(partitions, (count or 0) // 256)
     own = long_enough.mapInArrow(_own_anchors(span, bits), "bucket long, rest binary, many binary").repartition(partitions, "bucket")
     flags = np.zeros(1 << (map_bits - 3), np.uint8)

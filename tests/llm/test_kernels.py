@@ -92,3 +92,64 @@ def test_anchors_are_found_within_a_cores_cache(monkeypatch):
         for w, d, x in zip(np.frombuffer(r["which"], np.uint32), np.frombuffer(r["doc"], np.int64), np.frombuffer(r["start"], np.int64), strict=True):
             part = r["bytes"][int(at[w]) : int(at[w + 1])]
             assert texts[d][x : x + len(part)] == part
+
+
+@pytest.mark.parametrize("span", [5, 24, 50])
+def test_named_anchors_keep_windows_apart(span):
+    """Strings of runs hold equal symbols exactly where windows hold equal bytes, periodic windows too."""
+    rng = np.random.default_rng(span)
+    texts = [bytes(rng.choice([97, 98], 300).astype(np.uint8)) for _ in range(4)] + [b"a" * 300, b"ab" * 150, b"abcabca" * 40, "é€ b".encode() * 40]
+    data, offsets = textkit.text_bytes(pa.array(texts + [x[7:] for x in texts], pa.binary()))
+    at, anchor = repeats.anchors(data, offsets, span)
+    first, n = repeats.segments(at, anchor, np.searchsorted(offsets, at, "right") - 1, span)
+    begin, length = at[first], n + span - 1
+    rows = np.zeros((len(begin), int(length.max())), np.uint8)
+    rows[np.arange(rows.shape[1]) < length[:, None]] = repeats.cut_out(data, begin, length)
+    doc = np.searchsorted(offsets, begin, "right") - 1
+    who, skipped, m, place = repeats.repeating_runs(rows, length, doc, doc, span)
+    symbols, size, window = repeats.named(rows, who, skipped, m, place, span)
+    ends = np.cumsum(size)
+    spelt = {(int(w), int(c + j)): symbols[e - z + j : e - z + j + window].tobytes() for w, c, k, z, e in zip(who, skipped, m, size, ends, strict=True) for j in range(k)}
+    held, by_bytes, by_symbols = {}, {}, {}
+    for s in range(len(rows)):
+        for c in range(n[s]):
+            held.setdefault(rows[s, c : c + span].tobytes(), []).append((s, c))
+    for x, places in held.items():
+        if len({doc[s] for s, _ in places}) > 1:
+            for p in places:
+                assert by_bytes.setdefault(x, spelt[p]) == spelt[p] and by_symbols.setdefault(spelt[p], x) == x
+        else:
+            assert not any(p in spelt for p in places)
+    assert len(by_bytes) > 30 and len(spelt) == sum(len(v) for x, v in held.items() if x in by_bytes)
+
+
+def test_full_map_adds_nothing_to_the_transform(monkeypatch, tmp_path):
+    """However many anchors of one document travel, the collection holds windows that two documents may share, anchors named."""
+    rng = np.random.default_rng(9)
+    shared = bytes(rng.integers(97, 123, 400).astype(np.uint8))
+    texts = [bytes(rng.integers(97, 123, 4000).astype(np.uint8)) + shared for _ in range(3)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3), pa.int64()), pa.array(texts, pa.binary())], names=["id", "text"])
+    moved = list(repeats._travelling(50, 4, 20, np.full(1 << 17, 255, np.uint8), 8)([batch]))
+    given, plain = [], repeats.build
+    monkeypatch.setattr(repeats, "build", lambda symbols, offsets, folder: given.append(len(symbols)) or plain(symbols, offsets, folder))
+    blobs = sorted((r for b in moved for r in b.to_pylist()), key=lambda r: r["bucket"])
+    runs = list(repeats._decide(50, 8, f"file://{tmp_path}/x")(iter([pa.RecordBatch.from_pylist(blobs, schema=moved[0].schema)])))
+    gone = [set() for _ in texts]
+    for r in (r for b in runs for r in b.to_pylist()):
+        for d, x, y in zip(*(np.frombuffer(r[c], np.int64).tolist() for c in ("doc", "begin", "end")), strict=True):
+            gone[d].update(range(x, y))
+    assert not gone[0] and gone[1] == gone[2] == set(range(4000, 4400))
+    assert sum(given) < 4 * (400 - 49)
+
+
+def test_map_of_anchors_stays_selective():
+    """With a shared anchor for every ten bits, few others pass."""
+    rng = np.random.default_rng(10)
+    ours, others = rng.integers(0, 1 << 32, (2, 1 << 14), dtype=np.uint32)
+    flags = np.zeros(1 << 17, bool)
+    for at in repeats.places(ours[: (1 << 17) // 10], 17):
+        flags[at] = True
+    passed = np.ones(len(others), bool)
+    for at in repeats.places(others, 17):
+        passed &= flags[at]
+    assert passed.mean() < 0.05
