@@ -130,8 +130,8 @@ def carry_over(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def merged_spans(spans: DataFrame) -> DataFrame:
-    """(doc, start, end): spans that overlap or touch are one. spans: doc, start, end."""
-    order = Window.partitionBy("doc").orderBy("start", "end")
+    """(doc, start, end): spans that overlap or touch are one; one without an end has its start only. spans: doc, start, end."""
+    order = Window.partitionBy("doc").orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("end"))
     rows = spans.withColumn("far", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
     rows = rows.withColumn("island", F.sum((F.col("far").isNull() | (F.col("start") > F.col("far"))).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy("doc", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")

@@ -1,5 +1,6 @@
 """Queries without SQL take the whole table, not its first ids or rows."""
 
+import duckdb
 import pytest
 
 from lorecast.plans import catalog
@@ -34,3 +35,14 @@ def test_bigrams_score_passages_beyond_any_position(spark, tmp_path):
     spark.createDataFrame([(7, "amber lantern")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = catalog.QUERIES["bm25_latin_bigrams"](spark, str(tmp_path)).collect()
     assert [(r["query"], r["id"]) for r in got] == [(7, 41)]
+
+
+def test_spans_of_odd_quantities_equal_their_sql(spark, tmp_path):
+    """Fractions are rounded as the SQL rounds them; quantities may be null."""
+    rows = [(1, 1, 8.6), (1, 2, 2.5), (2, 1, 9.5), (2, 2, 3.0), (3, 1, None), (3, 1, 4.0), (3, 2, None), (4, 1, 30.0), (4, 2, None), (4, 3, 1.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = catalog.QUERIES["highlight_spans"](spark, str(tmp_path)).select("doc", "start", "end").collect()
+    duck = duckdb.connect()
+    duck.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = duck.sql(f'select doc, start, "end" from ({catalog.ORACLES["highlight_spans"]})').fetchall()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
